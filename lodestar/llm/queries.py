@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import lengths, sentencepieces, tokenfile
+from lodestar.llm import imatch, langid, lengths, mixing, pstable, sentencepieces, tokenfile, warc
 from lodestar.runtime import new_path, table
 
 #: Vocabulary files are read where they are installed; every operator takes the path as a parameter.
@@ -14,6 +14,12 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,6 +27,29 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_pieces", "piece_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives, reads them back, and merges the captures by URL key and time."""
+    return warc.capture_history(table(spark, sf_dir, "pages"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents as there are, sources weighted by the root of their size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, mixing.repetition_rates(docs), seed=42)
+    return mixed.select("doc_id", "source", "text", F.round("rate", 9).alias("rate"), "copy", "shuffle_key")
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for each vector whose id is divisible by 100."""
+    return pstable.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    docs = table(spark, sf_dir, "documents")
+    return imatch.edited_fingerprints(docs, imatch.lexicon(docs))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token files, reads them back and digests what was read."""
     path = new_path(spark, "tokens")
@@ -34,5 +63,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(found))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op7_token_ids, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_warc, op4_mix_sources, op5_nearest, op6_imatch, op7_token_ids, op9_token_counts)}
+
+ORACLES: dict[str, str] = {
+    "op4_mix_sources": """
+        WITH RECURSIVE sizes AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+        rates AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM sizes),
+        steps AS (
+            SELECT source, rate, 0 AS k, -rate AS lp, exp(-rate) AS c FROM rates
+            UNION ALL
+            SELECT source, rate, k + 1, lp + ln(rate) - ln((k + 1)::DOUBLE), c + exp(lp + ln(rate) - ln((k + 1)::DOUBLE))
+            FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
+        ),
+        drawn AS (SELECT *, ('0x' || substr(md5('42|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+        counted AS (
+            SELECT d.doc_id, d.source, d.text, s.rate, count(*) FILTER (WHERE s.c <= d.u) AS copies
+            FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL
+        )
+        SELECT doc_id, source, text, round(rate, 9) AS rate, copy::INTEGER AS copy, md5('42-order|' || doc_id || '|' || copy) AS shuffle_key
+        FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
+    """,
+}
