@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, co
                 first += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(task_count(docs), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(task_count(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     writer = ordered.mapInArrow(encode, SCHEMA).write.option("compression", codec)
     for key, value in {"orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": 1000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}.items():
         writer = writer.option(key, str(value))
