@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bytebpe
-from lodestar.runtime import ship
+from lodestar.runtime import saved, ship
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -27,8 +27,8 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """``length, docs``: summed on the map side first, so a hot length is one row for each task."""
-    return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("docs"))
+    """``length, docs``: summed on the map side first, so a hot length is one row for each task.  Saved: texts are encoded once."""
+    return saved(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("docs")), "lengths")
 
 
 def suffix_sums(hist: DataFrame, block: int = 1024) -> DataFrame:
