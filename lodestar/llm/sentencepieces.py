@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestar.llm.pieces import piece_table
+from lodestar.llm.textkit import chunks
 from lodestar.runtime import ship
 
+DECODE_IDS = 1 << 19
+
 
 def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with ``piece_ids`` and ``n_pieces`` of every whole text.
@@ -45,14 +48,15 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "piece_ids") -> DataFr
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, _ = piece_table(model)
         for batch in batches:
-            lists = batch.column(place)
-            lens = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-            raw, offsets = table.decode(np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(lens)]))
-            try:
-                text = pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(offsets), pa.py_buffer(raw))
-                text.validate(full=True)
-            except pa.ArrowInvalid:  # byte pieces that are no UTF-8, from ids that no text gave
-                text = pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.large_string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], [*batch.schema.names, "decoded"])
+            lens = np.asarray(batch.column(place).value_lengths().fill_null(0), np.int64)
+            for a, b in chunks(np.concatenate([[0], np.cumsum(lens)]), DECODE_IDS):
+                own = batch.slice(a, b - a)
+                raw, offsets = table.decode(np.asarray(own.column(place).flatten()), np.concatenate([[0], np.cumsum(lens[a:b])]))
+                try:
+                    text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets), pa.py_buffer(raw))
+                    text.validate(full=True)
+                except pa.ArrowInvalid:  # byte pieces that are no UTF-8, from ids that no text gave
+                    text = pa.array([raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.large_string())
+                yield pa.RecordBatch.from_arrays([*own.columns, text.cast(pa.string())], [*batch.schema.names, "decoded"])
 
     return rest.mapInArrow(decode, schema)
