@@ -13,13 +13,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on every Python worker's path, once for each application."""
+    """Put this package on every Python worker's path, once for each application.
+
+    Also bounds the Arrow batches that workers get by bytes, where the session
+    still has the wide default: rows here may be very long.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES, "67108864b").rstrip("b") == "67108864":
+        spark.conf.set(_BATCH_BYTES, "8m")
     if context.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="lodestar-code-")
