@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import imatch, langid, lengths, mixing, pstable, sentencepieces, tokenfile, warc
+from lodestar.llm import imatch, langid, lengths, mixing, ngramjoin, pstable, sentencepieces, tokenfile, warc
 from lodestar.runtime import new_path, table
 
 #: Vocabulary files are read where they are installed; every operator takes the path as a parameter.
@@ -62,7 +62,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(found))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_warc, op4_mix_sources, op5_nearest, op6_imatch, op7_token_ids, op9_token_counts)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 5-word shingles, and its component of links of 0.8 and more."""
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_warc, op4_mix_sources, op5_nearest, op6_imatch, op7_token_ids, op9_token_counts, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": """

@@ -116,7 +116,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tup
     keep |= np.cumsum(edge[:-1]) > 0
     for row in np.flatnonzero((n_words > 0) & (n_words < width)):
         start, k = int(at[row]), int(n_words[row])
-        full[start] = (words[start : start + k] * _STEP[:k]).sum(dtype=_U) + _U(k) * _STEP[9]
+        full[start] = np.append(words[start : start + k] * _STEP[:k], np.full(k, _STEP[9])).sum(dtype=_U)
         keep[start] = True
     counts = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     return _mix(full[keep]), np.concatenate([[0], np.cumsum(counts)])
