@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import imatch, langid, lengths, mixing, ngramjoin, pstable, sentencepieces, tokenfile, warc
+from lodestar.llm import imatch, langid, lengths, mixing, ngramjoin, pii, pstable, sentencepieces, tokenfile, warc
 from lodestar.runtime import new_path, table
 
 #: Vocabulary files are read where they are installed; every operator takes the path as a parameter.
@@ -56,6 +56,12 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(tokenfile.read_tokens(spark, path))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every whole text, and those that the field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.train(docs)))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suffix sums of the exact histogram of encoded lengths."""
     found = lengths.encoded_lengths(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -67,7 +73,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_warc, op4_mix_sources, op5_nearest, op6_imatch, op7_token_ids, op9_token_counts, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_warc, op4_mix_sources, op5_nearest, op6_imatch, op7_token_ids, op8_personal_data, op9_token_counts, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": """
