@@ -86,10 +86,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def task_count(df: DataFrame, bytes_per_task: int = 48 << 20, floor: int | None = None) -> int:
     """Shuffle partitions for a table of this size: at least the session's own number.
 
-    Takes the optimizer's size estimate (for files: bytes on disk), so the
-    number follows the input and no partition outgrows an executor.
+    Takes the sizes of what the plan reads (for files: bytes on disk), so the
+    number follows the input and no partition outgrows an executor.  What has
+    no known size counts as nothing.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in known if x < 1 << 60)
     least = floor or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-min(size, 1 << 60) // bytes_per_task))
+    return max(least, -(-size // bytes_per_task))
