@@ -87,7 +87,7 @@ def codewords(k: int) -> np.ndarray:
     """k rows of -1 and +1: the exhaustive code for few languages, else the best of some random ones."""
     if k <= 6:
         width = max(1, 2 ** (k - 1) - 1)
-        return np.array([[1] * width] + [[1 if (j + 1) >> (k - 1 - i) & 1 else -1 for j in range(width)] for i in range(1, k)], float)[:k]
+        return np.array([[1] * width] + [[1 if j >> (k - 1 - i) & 1 else -1 for j in range(width)] for i in range(1, k)], float)[:k]
     width = 15 + int(np.ceil(6 * np.log2(k)))
     rng, best, found = np.random.default_rng(k), None, -1
     for _ in range(60):
