@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import Forest, components
-from lodestar.llm.slots import flags_over, partial_rows
+from lodestar.llm.slots import flags_over, partial_rows, sparse_rows
 from lodestar.llm.textkit import _STEP, _U, _mix, chunks, shingle_hashes, sorted_sets, string_buffers
 from lodestar.runtime import saved, ship, task_count
 
@@ -41,8 +41,8 @@ BLOOM = 1 << 25
 LEAST_CROWD = 64
 SMALL_TILE = 128
 BLOCK = 2048
-FLUSH = 3_000_000
-HEAD_BYTES_PER_PART = 40 << 20
+FLUSH = 1_000_000
+HEAD_BYTES_PER_PART = 24 << 20
 
 _KEY = np.dtype([("x", "<u8"), ("y", "<u8")])
 
@@ -303,25 +303,23 @@ def _features(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``cls, n, bits, members`` of the wanted classes (and a few others), from one document of each."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BLOOM, np.uint8)
         for batch in batches:
             if batch.num_rows:
-                for slot in _bloom_slots(_keys_of(batch.column(0))["x"], batch.column(1).to_numpy()):
-                    counts[slot] = 1
-        yield pa.RecordBatch.from_arrays(list(partial_rows(counts)), ["range", "packed"])
+                at = np.unique(np.concatenate(_bloom_slots(_keys_of(batch.column(0))["x"], batch.column(1).to_numpy())))
+                yield pa.RecordBatch.from_arrays(list(sparse_rows(at, np.ones(len(at), np.int64))), ["range", "packed"])
 
     bits = flags_over(wanted.select("cls", "rep").mapInArrow(mark, "range int, packed binary"), BLOOM, 1)
     flags = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.unpackbits(flags.value)
+        packed = flags.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, b, values, at in _sets(batch.column(1), width):
                 keys = class_keys(values, at)
                 hit = at[1:] > at[:-1]
                 for slot in _bloom_slots(keys["x"], ids[a:b]):
-                    hit &= full[slot] > 0
+                    hit &= packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
                 own = np.flatnonzero(hit)
                 sets = [values[at[i] : at[i + 1]] for i in own.tolist()]
                 yield pa.RecordBatch.from_arrays([_keys_column(keys[own]), pa.array(np.diff(at)[own]), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "n", "bits", "members"])

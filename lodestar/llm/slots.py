@@ -17,14 +17,19 @@ from lodestar.runtime import ship
 RANGE = 1 << 14
 
 
+def sparse_rows(at: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(range, packed) columns of ascending slots and their counts: positions within the range, then counts."""
+    where = at // RANGE
+    cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))[: len(at)]
+    ends = np.append(cuts[1:], len(at))
+    packed = [(at[i:j] % RANGE).astype(np.uint16).tobytes() + counts[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts.tolist(), ends.tolist(), strict=False)] if len(at) else []
+    return pa.array(where[cuts] if len(at) else [], pa.int32()), pa.array(packed, pa.binary())
+
+
 def partial_rows(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(range, packed) columns of a task's counters; ranges without any are left out."""
+    """The same of a task's whole array of counters; ranges without any are left out."""
     at = np.flatnonzero(counts)
-    where = at // RANGE
-    cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(at) else np.zeros(0, np.int64)
-    # positions are stored within their range
-    packed = [(own % RANGE).astype(np.uint16).tobytes() + counts[own].astype(np.uint32).tobytes() for own in np.split(at, cuts[1:])] if len(at) else []
-    return pa.array(where[cuts], pa.int32()), pa.array(packed, pa.binary())
+    return sparse_rows(at, counts[at])
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:

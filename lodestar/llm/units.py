@@ -18,7 +18,7 @@ from lodestar.llm.textkit import _BACK, _BASE, _STEP, _U, _mix, _power_table, ch
 
 # One value per byte; unlike the word hash, capitals differ from small letters.
 _EXACT = _mix(np.arange(7, 263, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
-MAX_CACHED_UNITS = 1_000_000
+MAX_CACHED_UNITS = 500_000
 
 
 def unicode_space(data: np.ndarray) -> np.ndarray:
