@@ -2,10 +2,10 @@
 
 Layout of a token file set (one folder):
 
-* files in ascending ``doc_id`` order by name, rows in ascending ``doc_id``
+* files in ascending ``doc_id`` order by part number, rows in ascending ``doc_id``
   order within a file (equal ids by text; null ids first);
 * ``doc_id``, ``n_tokens``, ``first_token`` (position of the document's first
-  id within its file) and ``token_ids``;
+  id within its part) and ``token_ids``;
 * every stripe has a row index and a Bloom filter on ``doc_id``, so that a
   reader with a filter on ``doc_id`` skips stripes and row groups; stripes of
   one file are read by different tasks.
@@ -69,15 +69,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, co
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows, with ``start``: the number of ids of all documents before.
 
-    A filter on ``doc_id`` reaches the ORC reader.  The positions of whole
-    files come from one pruned column; there is one row for each file.
+    A filter on ``doc_id`` reaches the ORC reader.  The sizes of whole
+    parts come from one pruned column; there is one row for each part.
     """
-    files = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_name"))
-    totals = files.groupBy("file").agg(F.sum("n_tokens").alias("held"))
-    before = F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row for each written file, and writing bounds their number by input bytes / task bytes.
-    places = F.broadcast(totals.select("file", before.alias("before")))
-    return files.join(places, "file").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "token_ids")
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-([0-9]+)", 1).cast("int")
+    files = spark.read.schema(SCHEMA).orc(path).withColumn("part", number)
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each written part, and writing bounds their number by input bytes / task bytes.
+    places = F.broadcast(totals.select("part", before.alias("before")))
+    return files.join(places, "part").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "token_ids")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
