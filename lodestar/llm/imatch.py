@@ -138,6 +138,35 @@ def _unpacked(blob: bytes) -> tuple[list[int], list[str]]:
 
 
 _NULL_ID = -(1 << 63)
+COARSE = 2048
+
+
+def _id_bounds(rows: DataFrame, n: int) -> np.ndarray:
+    """Ids that cut the rows into about n ranges of similar size, each with at least one document.
+
+    Every bound is an id of the table and the last id of its range; the
+    largest id is none.  Many ranges are found in two steps, so that no plan
+    holds more than ``COARSE`` quantiles; eight bytes for each range reach the
+    driver.
+    """
+
+    def shares(k: int) -> list[float]:
+        return [i / k for i in range(1, k)]
+
+    first = min(n, COARSE)
+    found = rows.agg(F.percentile_approx("doc_id", shares(max(2, first)), 20 * first).alias("at"), F.max("doc_id").alias("most")).first()
+    bounds = np.unique(np.array(found["at"] or [], np.int64))
+    within = -(-n // first)
+    if within > 1:
+        coarse = bounds
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(coarse, batch.column(0).to_numpy()).astype(np.int32)), batch.column(0)], ["range", "doc_id"])
+
+        fine = rows.select("doc_id").mapInArrow(deal, "range int, doc_id long").groupBy("range").agg(F.percentile_approx("doc_id", shares(within), 20 * within).alias("at"))
+        bounds = np.unique(np.concatenate([bounds, *(np.array(r["at"], np.int64) for r in fine.collect())]))
+    return bounds[bounds < found["most"]] if len(bounds) else bounds
 
 
 def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -153,9 +182,7 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = 2 * task_count(docs)
-    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("at"), F.max("doc_id").alias("most")).first()
-    bounds = np.unique(np.array([x for x in found["at"] or [] if x < found["most"]], np.int64))
+    bounds = _id_bounds(rows, 2 * task_count(docs))
     parts = len(bounds) + 1
     shared = spark.sparkContext.broadcast(terms)
 

@@ -279,6 +279,16 @@ def test_document_frequencies(spark, documents, texts):
     assert found == Counter(df.values())
 
 
+def test_imatch_ranges_in_two_steps(spark, documents, monkeypatch):
+    terms = imatch.lexicon(documents)
+    want = sorted(map(tuple, imatch.edited_fingerprints(documents, terms).collect()))
+    monkeypatch.setattr(imatch, "COARSE", 3)
+    rows = documents.select(F.col("doc_id"))
+    bounds = imatch._id_bounds(rows, 12)
+    assert len(bounds) > 8 and set(bounds.tolist()) <= {r[0] for r in rows.collect()}
+    assert sorted(map(tuple, imatch.edited_fingerprints(documents, terms).collect())) == want
+
+
 def test_imatch_odd_rows(spark, odd, none):
     rows = imatch.edited_fingerprints(odd, imatch.lexicon(odd)).collect()
     assert len(rows) == odd.count() and sum(r["doc_id"] is None for r in rows) == 2
