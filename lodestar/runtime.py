@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,3 +99,36 @@ def task_count(df: DataFrame, bytes_per_task: int = 48 << 20, floor: int | None
     size = sum(x for x in known if x < 1 << 60)
     least = floor or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-size // bytes_per_task))
+
+
+def steady_memory(block: int = 2 << 20) -> None:
+    """Have the C library return freed blocks of this size and more to the system at once.
+
+    By default it raises that limit with the largest block it has freed, and a
+    worker that once held large arrays keeps their memory.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(-3, block)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trim_memory() -> None:
+    """Return what is free in this process to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A partition function that leaves no free memory behind in its (reused) worker."""
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim_memory()
+
+    return tidied
