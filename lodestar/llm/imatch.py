@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.textkit import _U, _mix, chunks, sorted_sets, string_buffers, word_hashes
-from lodestar.runtime import ship, task_count
+from lodestar.runtime import ship, task_count, tidy
 
 #: Shares of documents between which a term belongs to the lexicon: idf from ln 5 to ln 1000.
 LOW_SHARE, HIGH_SHARE = 0.001, 0.2
@@ -240,4 +240,4 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             yield from finish(pairs, max(below))
 
     dealt = rows.mapInArrow(deal, "part int, halo boolean, blob binary").repartitionById(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.textkit import string_buffers
-from lodestar.runtime import ship
+from lodestar.runtime import ship, tidy
 
 SAMPLE_ROWS = 6000
 LEAST_ROWS = 100  # of each language, where it has as many
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
     schema = T.StructType([*rest.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return rest.mapInArrow(label, schema)
+    return rest.mapInArrow(tidy(label), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

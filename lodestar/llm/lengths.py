@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bytebpe
-from lodestar.runtime import saved, ship
+from lodestar.runtime import saved, ship, tidy
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -23,7 +23,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
             for _, _, _, at in coder.batches(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(at))], ["length"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "length long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), "length long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

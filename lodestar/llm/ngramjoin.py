@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.components import Forest, components
 from lodestar.llm.slots import flags_over, partial_rows, sparse_rows
 from lodestar.llm.textkit import _STEP, _U, _mix, chunks, shingle_hashes, sorted_sets, string_buffers
-from lodestar.runtime import saved, ship, task_count
+from lodestar.runtime import saved, ship, task_count, tidy, trim_memory
 
 WIDTH, PERCENT = 5, 80
 SLOTS = 1 << 20
@@ -120,7 +120,7 @@ def _sketched(rows: DataFrame, width: int) -> DataFrame:
         none = pa.nulls(len(where))
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), where, packed], names)
 
-    return saved(rows.mapInArrow(scan, "doc_id long, n long, cls binary, range int, packed binary"), "shingle-classes")
+    return saved(rows.mapInArrow(tidy(scan), "doc_id long, n long, cls binary, range int, packed binary"), "shingle-classes")
 
 
 def _pack(tokens: np.ndarray, rows: np.ndarray, places: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -182,7 +182,7 @@ def _head_blocks(rows: DataFrame, crowded: np.ndarray, parts: int, width: int, p
         if held:
             yield flush()
 
-    return rows.select("text").mapInArrow(emit, "part int, blob binary")
+    return rows.select("text").mapInArrow(tidy(emit), "part int, blob binary")
 
 
 def _tile_pairs(tokens: np.ndarray, cls: np.ndarray, sizes: np.ndarray, places: np.ndarray, tile: np.ndarray, percent: int) -> np.ndarray:
@@ -254,7 +254,7 @@ def _candidates(blocks: DataFrame, parts: int, percent: int) -> DataFrame:
             yield from solve(blobs)
 
     dealt = blocks.repartitionById(parts, "part").sortWithinPartitions("part")
-    return saved(dealt.mapInArrow(run, "a binary, b binary, token long, n long"), "candidates")
+    return saved(dealt.mapInArrow(tidy(run), "a binary, b binary, token long, n long"), "candidates")
 
 
 def bitmap_bits(n: int) -> int:
@@ -324,7 +324,7 @@ def _features(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [values[at[i] : at[i + 1]] for i in own.tolist()]
                 yield pa.RecordBatch.from_arrays([_keys_column(keys[own]), pa.array(np.diff(at)[own]), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "n", "bits", "members"])
 
-    return saved(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(fetch, "cls binary, n long, bits binary, members binary"), "features")
+    return saved(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(tidy(fetch), "cls binary, n long, bits binary, members binary"), "features")
 
 
 def _within_bound(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +340,7 @@ def _within_bound(pairs: DataFrame, features: DataFrame, percent: int) -> DataFr
 
     one = features.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = features.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(check, "a binary, b binary")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(tidy(check), "a binary, b binary")
 
 
 def _linked(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -356,7 +356,7 @@ def _linked(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
 
     one = features.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
     two = features.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(check), "a binary, b binary")
 
 
 def _blocks_of_tiles(large: DataFrame, percent: int) -> DataFrame:
@@ -456,6 +456,8 @@ def _tile_links(large: DataFrame, features: DataFrame, percent: int) -> DataFram
                         forest.join(x, y)
                         a.append(keys[x])
                         b.append(keys[y])
+        del held, sets
+        trim_memory()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     full = live.join(member_of, "cls").join(features.select("cls", "members"), "cls")

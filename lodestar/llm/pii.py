@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.runtime import ship
+from lodestar.runtime import ship, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.  Of the address the parts around the sign stand alone, and
@@ -369,7 +369,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *numbers, pa.array(base_text, pa.string()), pa.array(all_text, pa.string())], [*batch.schema.names, *made])
 
     schema = T.StructType([*rest.schema, *(T.StructField(x, T.LongType()) for x in made[:4]), *(T.StructField(x, T.StringType()) for x in made[4:])])
-    return rest.mapInArrow(scan, schema)
+    return rest.mapInArrow(tidy(scan), schema)
 
 
 def redact(docs: DataFrame, spans: str = "spans") -> DataFrame:

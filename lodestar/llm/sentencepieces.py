@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lodestar.llm.pieces import piece_table
 from lodestar.llm.textkit import chunks, string_buffers
-from lodestar.runtime import ship
+from lodestar.runtime import ship, tidy
 
 DECODE_IDS = 1 << 19
 
@@ -45,7 +45,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*own.columns, lists, pa.array(np.diff(at)), pa.array(same)], [*batch.schema.names, "piece_ids", "n_pieces", "round_trip"])
 
-    return rest.mapInArrow(encode, schema)
+    return rest.mapInArrow(tidy(encode), schema)
 
 
 def decode_pieces(rows: DataFrame, model: str, ids: str = "piece_ids") -> DataFrame:

@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from lodestar.runtime import steady_memory
+
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
+steady_memory()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

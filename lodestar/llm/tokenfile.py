@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import bytebpe
-from lodestar.runtime import ship, task_count
+from lodestar.runtime import ship, task_count, tidy
 
 SCHEMA = "doc_id long, n_tokens long, first_token long, token_ids array<int>"
 
@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, co
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(task_count(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    writer = ordered.mapInArrow(encode, SCHEMA).write.option("compression", codec)
+    writer = ordered.mapInArrow(tidy(encode), SCHEMA).write.option("compression", codec)
     for key, value in {"orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": 1000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}.items():
         writer = writer.option(key, str(value))
     writer.orc(path)
