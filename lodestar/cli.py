@@ -95,7 +95,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         index, queries = load_index(spark, a.index), _queries(spark, a.queries, a.format)
         truth = read_truth(spark, a.ground_truth) if a.ground_truth else exact.nearest(index.vectors, queries, a.recall_at_k or a.top_k) if a.generate_ground_truth else None
         sweep = Sweep(SearchConfig(top_k=a.top_k), values={k: v for k, v in vars(a).items() if isinstance(v, list)})
-        rows = [bench.run_bench(spark, _graph(index, kind), queries, index.meta["entry"], kind, config, truth, a.recall_at_k) for kind, config in sweep.runs()]
+        paged = {kind: beam.PagedGraph(_graph(index, kind), index.layout, index.graph, index.meta["entry"]) for kind in {kind for kind, _ in sweep.runs()}}
+        rows = [bench.run_bench(spark, paged[kind].under(config), queries, index.meta["entry"], kind, config, truth, a.recall_at_k) for kind, config in sweep.runs()]
         folder = a.experiment_dir or bench.experiment_folder(a.experiment_root, a.label, a.index.rstrip("/").rpartition("/")[2], rows[0]["queries"])
         ids = None if truth is None else [list(map(int, r["ids"].split(","))) for r in exact.result_ids(truth).orderBy("qid").collect()]
         bench.write_experiment(folder, rows, ids)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +20,22 @@ from pyspark.sql import functions as F
 from lodestar.functions.distance import adc_distances, adc_table, block_l2, l2_squared
 from lodestar.operators import pq
 from lodestar.operators.exact import matrix, ranked
-from lodestar.plans.config import SearchConfig
+from lodestar.operators.layout import id_to_page
+from lodestar.plans.config import CachePolicy, SearchConfig
 from lodestar.runtime import saved, ship
 
 TRAVELLING_BYTES = 256 << 20
 NODE_BYTES = 56  # of a cached node besides four for each neighbour
-RESULT = "qid long, rank int, id long, distance double, n_hops long, n_cmps long, exact_evals long, range_stop boolean"
+RESULT = "qid long, rank int, id long, distance double, n_hops long, n_cmps long, exact_evals long, cache_hits long, pages_touched long, range_stop boolean"
 
 
 @dataclass(frozen=True)
 class Graph:
-    """Flat adjacency and vectors, ids ascending; ``member`` marks what a filter admits."""
+    """Flat adjacency and vectors, ids ascending.
+
+    ``member`` marks what a filter admits, ``page`` names each node's page, and
+    ``cached`` marks nodes whose adjacency is kept; the last two only count.
+    """
 
     ids: np.ndarray
     starts: np.ndarray
@@ -39,6 +44,8 @@ class Graph:
     codes: np.ndarray | None = None
     pivots: np.ndarray | None = None
     member: np.ndarray | None = None
+    page: np.ndarray | None = None
+    cached: np.ndarray | None = None
 
     def around(self, at: int) -> np.ndarray:
         """Positions of a node's neighbours."""
@@ -79,7 +86,8 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
     distance at the end.
     """
     table = None if graph.codes is None else adc_table(query, graph.pivots)
-    stats = {"n_hops": 0, "n_cmps": 0, "exact_evals": 0, "range_stop": False}
+    stats = {"n_hops": 0, "n_cmps": 0, "exact_evals": 0, "cache_hits": 0, "pages_touched": 0, "range_stop": False}
+    pages: set[int] = set()
 
     def approximate(at: np.ndarray) -> np.ndarray:
         stats["n_cmps"] += len(at)
@@ -118,6 +126,10 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
         visited.add(chosen[2])
         members += graph.member is None or bool(graph.member[chosen[2]])
         stats["n_hops"] += 1
+        if graph.cached is not None and graph.cached[chosen[2]]:
+            stats["cache_hits"] += 1
+        elif graph.page is not None:
+            pages.add(int(graph.page[chosen[2]]))
         fresh = [a for a in graph.around(chosen[2]).tolist() if not seen[a]]
         if admit_only_members and graph.member is not None:
             fresh = [a for a in fresh if graph.member[a]] + [a for a in fresh if not graph.member[a]]
@@ -126,6 +138,7 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
             seen[fresh] = True
             found = [(float(d), int(graph.ids[a]), int(a)) for d, a in zip(approximate(fresh), fresh, strict=True)]
             pool = list(heapq.merge(pool, sorted(found)))[: config.capacity]
+    stats["pages_touched"] = len(pages)
     if config.defer_exact_until_refinement or config.refine_k or config.refine_ratio:
         wanted = [item[2] for item in pool[: config.refine_bound(len(pool))]]
         if not config.defer_exact_until_refinement:
@@ -156,8 +169,8 @@ def search(graph: Graph, queries: DataFrame, entry: int, config: SearchConfig, w
                 found, stats = walk(own, q, start, config, in_filter)
                 kept = found[: config.top_k] if within is None else [x for x in found if x[0] <= within][: config.l_search]
                 rows += [(qid, r + 1, int(own.ids[a]), d, *stats.values()) for r, (d, a) in enumerate(kept)]
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), *[pa.int64()] * 5, pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     return queries.select("qid", F.col("vector").cast("array<double>")).mapInArrow(run, RESULT)
@@ -240,3 +253,27 @@ def cache_entry_bfs(layout: DataFrame, graph: Graph, entry: int, budget: int) ->
                     queued.add(x)
                     queue.append(x)
     return out
+
+
+class PagedGraph:
+    """A flat graph with the pages of a layout; keeps what the last cache setting selected."""
+
+    def __init__(self, flat: Graph, layout: DataFrame, links: DataFrame, entry: int):
+        self.layout, self.links, self.entry = layout, links, entry
+        home = {r["node_id"]: r["page_id"] for r in id_to_page(layout).toLocalIterator()}
+        self.flat = replace(flat, page=np.array([home.get(int(x), -1) for x in flat.ids]))
+        self.setting, self.kept = None, None
+
+    def under(self, config: SearchConfig) -> Graph:
+        """The graph with the nodes marked that the byte budget keeps; chosen anew only for another budget or policy."""
+        setting = (config.graph_cache_budget_bytes, config.graph_cache_policy)
+        if setting != self.setting:
+            budget, policy = setting
+            if not budget:
+                nodes: list[int] = []
+            elif policy is CachePolicy.ENTRY_BFS:
+                nodes = [n for n, _ in cache_entry_bfs(self.layout, self.flat, self.entry, budget)]
+            else:
+                nodes = [r["node_id"] for r in cache_page_layout(self.layout, self.links, budget).toLocalIterator()]
+            self.setting, self.kept = setting, np.isin(self.flat.ids, np.array(nodes, np.int64))
+        return replace(self.flat, cached=self.kept)

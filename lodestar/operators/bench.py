@@ -44,15 +44,15 @@ def accumulate(stats: DataFrame, by: list[str], counters: list[str]) -> DataFram
 
 def bench_summary(results: DataFrame, truth: DataFrame | None, k: int) -> DataFrame:
     """One row: queries, counters, mean recall (null without truth), and the first query's ids."""
-    per_query = results.groupBy("qid").agg(F.max("n_hops").alias("n_hops"), F.max("n_cmps").alias("n_cmps"), F.max("exact_evals").alias("exact_evals"), F.bool_or("range_stop").alias("range_stop"))
-    out = per_query.agg(F.count(F.lit(1)).alias("queries"), F.sum("n_hops").alias("n_hops"), F.sum("n_cmps").alias("n_cmps"), F.sum("exact_evals").alias("exact_evals"), F.bool_or("range_stop").alias("range_stop"))
+    per_query = results.groupBy("qid").agg(F.max("n_hops").alias("n_hops"), F.max("n_cmps").alias("n_cmps"), F.max("exact_evals").alias("exact_evals"), F.max("cache_hits").alias("cache_hits"), F.max("pages_touched").alias("pages_touched"), F.bool_or("range_stop").alias("range_stop"))
+    out = per_query.agg(F.count(F.lit(1)).alias("queries"), F.sum("n_hops").alias("n_hops"), F.sum("n_cmps").alias("n_cmps"), F.sum("exact_evals").alias("exact_evals"), F.sum("cache_hits").alias("cache_hits"), F.sum("pages_touched").alias("pages_touched"), F.bool_or("range_stop").alias("range_stop"))
     ids = exact.result_ids(results).agg(F.min_by("ids", "qid").alias("first_query_result_ids"))
     mean = exact.recall(results, truth, k).agg(F.round(F.avg("recall"), 6).alias("average_recall")) if truth is not None else ids.select(F.lit(None).cast("double").alias("average_recall"))
     return out.join(F.broadcast(ids)).join(F.broadcast(mean))  # single rows
 
 
 def run_bench(spark: SparkSession, graph: beam.Graph, queries: DataFrame, entry: int, kind: DistanceKind, config: SearchConfig, truth: DataFrame | None, k: int = 0) -> dict:
-    """One timed run as a row of the summary file; counters of reads that Spark does itself are null."""
+    """One timed run as a row of the summary file; reads are counted as distinct pages of each query, other counters of disk reads are null."""
     began = time.perf_counter()
     found = beam.search(graph, queries, entry, config)
     rows = found.collect()
@@ -61,7 +61,7 @@ def run_bench(spark: SparkSession, graph: beam.Graph, queries: DataFrame, entry:
     one = bench_summary(back, truth, k or config.top_k).first().asDict()
     asked = queries.count()
     made = as_row(config) | {"approx_kind": kind.value, "approx_backend": "pq" if graph.codes is not None else "full", "queries": asked, "elapsed_ms": elapsed, "average_latency_ms": elapsed / max(1, asked), "qps": asked / elapsed * 1000}
-    made |= {"n_hops": one["n_hops"], "n_cmps": one["n_cmps"], "approx_evals": one["n_cmps"], "exact_evals": one["exact_evals"], "range_stop": one["range_stop"], "average_recall": one["average_recall"], "first_query_result_ids": one["first_query_result_ids"]}
+    made |= {"n_hops": one["n_hops"], "n_cmps": one["n_cmps"], "approx_evals": one["n_cmps"], "exact_evals": one["exact_evals"], "n_ios": one["pages_touched"] if graph.page is not None else None, "graph_cache_hits": one["cache_hits"] if graph.cached is not None else None, "graph_cache_expansions": one["cache_hits"] if graph.cached is not None else None, "range_stop": one["range_stop"], "average_recall": one["average_recall"], "first_query_result_ids": one["first_query_result_ids"]}
     made["defer_exact_until_refinement"] = int(made["defer_exact_until_refinement"])
     return {c: made.get(c) for c in TSV_COLUMNS}
 

@@ -562,7 +562,7 @@ def stats_accumulate(spark, d):
 def bench_summary(spark, d):
     """One row for a run; the query's id stands in for its counters."""
     found, truth = _found_and_truth(spark, d)
-    counted = found.withColumns({"n_hops": F.col("qid"), "n_cmps": F.col("qid"), "exact_evals": F.col("qid"), "range_stop": F.lit(False)})
+    counted = found.withColumns({"n_hops": F.col("qid"), "n_cmps": F.col("qid"), "exact_evals": F.col("qid"), "cache_hits": F.lit(0), "pages_touched": F.lit(0), "range_stop": F.lit(False)})
     return bench.bench_summary(counted, truth, K).select("queries", "n_hops", "average_recall", "first_query_result_ids")
 
 

@@ -268,6 +268,14 @@ def test_cache_budget(spark, toy):
     assert held[0][0] == 0 and len(held) == 12
     with pytest.raises(ValueError):
         graph.entry_point(base, 99)
+    paged, q = beam.PagedGraph(flat, pages, g, 0), asked(spark, [0.95, 0.15, 0])
+    for policy in cfg.CachePolicy:
+        bare, kept = (paged.under(cfg.SearchConfig(graph_cache_budget_bytes=b, graph_cache_policy=policy)) for b in (0, 10_000))
+        one, two = (beam.search(x, q, 0, cfg.SearchConfig(top_k=4, l_search=8)).first() for x in (bare, kept))
+        assert one["id"] == two["id"] == 0 and one["cache_hits"] == 0 and 0 < one["pages_touched"] <= one["n_hops"]
+        assert two["cache_hits"] == two["n_hops"] and two["pages_touched"] == 0
+    again = paged.under(cfg.SearchConfig(graph_cache_budget_bytes=10_000, graph_cache_policy=cfg.CachePolicy.PAGE_LAYOUT))
+    assert again.cached is kept.cached
 
 
 def test_queries_as_a_stream(spark, toy, tmp_path):
