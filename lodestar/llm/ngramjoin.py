@@ -40,7 +40,8 @@ SLOTS = 1 << 20
 BLOOM = 1 << 25
 LEAST_CROWD = 64
 SMALL_TILE = 128
-BLOCK = 2048
+#: Shingles of all sets in a tile that is not cut; blocks of cut tiles have half as many.
+BLOCK = 1 << 21
 FLUSH = 1_000_000
 HEAD_BYTES_PER_PART = 24 << 20
 
@@ -362,17 +363,17 @@ def _linked(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
 def _blocks_of_tiles(large: DataFrame, percent: int) -> DataFrame:
     """``tile, side, cls`` of large tiles cut block against block.
 
-    A tile of up to ``BLOCK`` classes is one (side 2).  Of a larger one, each
+    A tile whose sets have up to ``BLOCK`` members together is one (side 2).  Of a larger one, each
     band of sizes is cut into blocks by hash; a block meets itself, the other
     blocks of its band and those of the next band (sides 0 and 1).
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     rows = large.select("token", F.col("a").alias("cls"), "n", band.alias("band"))
-    whole = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    whole = rows.groupBy("token").agg(F.sum("n").alias("held"))
     sized = rows.join(whole, "token")
     small = sized.filter(F.col("held") <= BLOCK).select(F.col("token").cast("string").alias("tile"), F.lit(2).alias("side"), "token", "cls", "n")
     wide = sized.filter(F.col("held") > BLOCK)
-    cut = wide.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("cuts"))
+    cut = wide.groupBy("token", "band").agg(F.ceil(F.sum("n") / (BLOCK // 2)).cast("int").alias("cuts"))
     near = lambda d, name: cut.select("token", (F.col("band") - d).alias("band"), F.col("cuts").alias(name))
     dealt = wide.join(cut, ["token", "band"]).join(near(1, "above"), ["token", "band"], "left").join(near(-1, "below"), ["token", "band"], "left")
     own = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")

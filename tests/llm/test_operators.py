@@ -479,7 +479,7 @@ def test_join_on_documents(spark, texts):
     assert components_of(q.op10_ngram_join(spark, SMALL)) == plain_components({d: r["text"] for d, r in texts.items()})
 
 
-@pytest.mark.parametrize("tile, block", [(128, 2048), (4, 2048), (4, 16)])
+@pytest.mark.parametrize("tile, block", [(128, 1 << 21), (4, 1 << 21), (4, 1000)])
 def test_join_on_near_copies(spark, monkeypatch, tile, block):
     """Families around the threshold, a passage that all share, copies; small and large tiles, whole and cut."""
     passage = " ".join(f"p{i}" for i in range(30))
