@@ -435,7 +435,8 @@ def _tile_links(large: DataFrame, features: DataFrame, percent: int) -> DataFram
         own = np.flatnonzero(live)
         return pa.table({"tile": pa.array([key[0].as_py()] * len(own), pa.string()), "side": pa.array(sides[own], pa.int32()), "token": held["token"].take(pa.array(own)), "cls": held["cls"].take(pa.array(own))})
 
-    marked = tiles.join(features.select("cls", "bits"), "cls").select("tile", "side", "token", "cls", "n", "bits")
+    # small on disk, where repeated keys cost little, these tables are large in memory: no broadcasts
+    marked = tiles.join(features.select("cls", "bits").hint("merge"), "cls").select("tile", "side", "token", "cls", "n", "bits")
     live = saved(marked.groupBy("tile").applyInArrow(screen, "tile string, side int, token long, cls binary"), "live-tiles")
     member_of = live.groupBy("cls").agg(F.collect_set("token").alias("tokens"))
 
@@ -461,7 +462,7 @@ def _tile_links(large: DataFrame, features: DataFrame, percent: int) -> DataFram
         trim_memory()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    full = live.join(member_of, "cls").join(features.select("cls", "members"), "cls")
+    full = live.join(member_of.hint("merge"), "cls").join(features.select("cls", "members").hint("merge"), "cls")
     return full.groupBy("tile").applyInArrow(link, "a binary, b binary")
 
 
