@@ -8,6 +8,7 @@ for all queries at once, one join for each hop.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -35,6 +36,7 @@ class Graph:
 
     ``member`` marks what a filter admits, ``page`` names each node's page, and
     ``cached`` marks nodes whose adjacency is kept; the last two only count.
+    Dense neighbours are further links that only a filter within the walk follows.
     """
 
     ids: np.ndarray
@@ -46,34 +48,51 @@ class Graph:
     member: np.ndarray | None = None
     page: np.ndarray | None = None
     cached: np.ndarray | None = None
+    dense_starts: np.ndarray | None = None
+    dense_nbrs: np.ndarray | None = None
 
     def around(self, at: int) -> np.ndarray:
         """Positions of a node's neighbours."""
         return self.nbrs[self.starts[at] : self.starts[at + 1]]
 
+    def densely_around(self, at: int) -> np.ndarray:
+        """Positions of a node's dense neighbours."""
+        return self.nbrs[:0] if self.dense_nbrs is None else self.dense_nbrs[self.dense_starts[at] : self.dense_starts[at + 1]]
+
 
 def size_of(graph: DataFrame, base: DataFrame) -> int:
     """Bytes of the flat form, counted before anything is collected."""
-    links = graph.agg(F.coalesce(F.sum(F.size("nbrs")), F.lit(0))).first()[0]
+    lists = [F.coalesce(F.sum(F.size(F.coalesce(c, F.array().cast("array<long>")))), F.lit(0)) for c in ("nbrs", "dense_nbrs") if c in graph.columns]
+    links = sum(graph.agg(*lists).first())
     n, dim = base.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     return 8 * links + 8 * n * dim
 
 
 def load(graph: DataFrame, base: DataFrame, codes: DataFrame | None = None, pivots: np.ndarray | None = None, member: str | None = None) -> Graph:
-    """The flat form of ``graph(id, nbrs)`` and ``base(id, vector)``; an error beyond ``TRAVELLING_BYTES``."""
+    """The flat form of ``graph(id, nbrs)`` and ``base(id, vector)``; an error beyond ``TRAVELLING_BYTES``.
+
+    Dense neighbours come along where ``member`` names a filter's column.
+    """
+    graph = graph.select("id", "nbrs", *(["dense_nbrs"] if member and "dense_nbrs" in graph.columns else []))
     if size_of(graph, base) > TRAVELLING_BYTES:
         raise ValueError("the graph is too large to travel: use frontier_search")
-    rows = base.join(graph.select("id", "nbrs"), "id", "left").select("id", "vector", "nbrs", *([member] if member else []))
+    rows = base.select("id", "vector", *([member] if member else [])).join(graph, "id", "left")
     if codes is not None:
         rows = rows.join(codes, "id")
     pdf = rows.orderBy("id").toPandas()
     ids = pdf["id"].to_numpy(np.int64)
-    lists = [np.asarray([] if x is None else x, np.int64) for x in pdf["nbrs"]]
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    at = np.searchsorted(ids, flat)
-    if len(flat) and (at.max() >= len(ids) or (ids[at] != flat).any()):
-        raise ValueError("an edge leads out of the data")
-    return Graph(ids, np.concatenate([[0], np.cumsum([len(x) for x in lists])]), at, np.array(pdf["vector"].tolist(), float), None if codes is None else np.array(pdf["codes"].tolist(), np.int64), pivots, None if member is None else pdf[member].fillna(False).to_numpy(bool))
+
+    def flat(column: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = [np.asarray([] if x is None else x, np.int64) for x in pdf[column]]
+        links = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        at = np.searchsorted(ids, links)
+        if len(links) and (at.max() >= len(ids) or (ids[at] != links).any()):
+            raise ValueError("an edge leads out of the data")
+        return np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), at
+
+    starts, nbrs = flat("nbrs")
+    dense_starts, dense_nbrs = flat("dense_nbrs") if "dense_nbrs" in pdf else (None, None)
+    return Graph(ids, starts, nbrs, np.array(pdf["vector"].tolist(), float), None if codes is None else np.array(pdf["codes"].tolist(), np.int64), pivots, None if member is None else pdf[member].fillna(False).to_numpy(bool), dense_starts=dense_starts, dense_nbrs=dense_nbrs)
 
 
 def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admit_only_members: bool = False) -> tuple[list[tuple[float, int]], dict]:
@@ -84,6 +103,12 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
     is left, or when one lies beyond twice ``range_partial``.  Candidates get
     exact distances when visited or, deferred, among the best by approximate
     distance at the end.
+
+    With ``admit_only_members`` a visited node hands on its members among base
+    and dense neighbours first and fills up to its number of base neighbours
+    with others.  Others that find no room wait until no candidate is left, and
+    no number of others crowds a candidate out: the walk ends with fewer than
+    ``l_search`` members only where no more are within reach.
     """
     table = None if graph.codes is None else adc_table(query, graph.pivots)
     stats = {"n_hops": 0, "n_cmps": 0, "exact_evals": 0, "cache_hits": 0, "pages_touched": 0, "range_stop": False}
@@ -104,47 +129,68 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
         seeds = np.array([entry])
         far = None
     near = approximate(seeds) if far is None else far[seeds]
+    inside = admit_only_members and graph.member is not None
     seen = np.zeros(len(graph.ids), bool)
     seen[seeds] = True
-    pool = sorted((float(d), int(graph.ids[a]), int(a)) for d, a in zip(near, seeds, strict=True))
-    visited: set[int] = set()
-    members = 0
+    waiting = [(float(d), int(graph.ids[a]), int(a)) for d, a in zip(near, seeds, strict=True)]
+    heapq.heapify(waiting)
+    every = list(waiting)
+    visited: list[tuple[float, int, int]] = []  # in order, as are the members among them
+    members: list[tuple[float, int, int]] = []
+    later: list[int] = []
+
+    def found(at: np.ndarray) -> None:
+        seen[at] = True
+        for item in zip(approximate(at).tolist(), graph.ids[at].tolist(), at.tolist(), strict=True):
+            heapq.heappush(waiting, item)
+            every.append(item)
+
     while True:
-        ahead, chosen = 0, None
-        for item in pool:
-            if item[2] not in visited:
-                chosen = item
-                break
-            ahead += graph.member is None or bool(graph.member[item[2]])
-            if ahead >= config.l_search:
-                break
-        if chosen is None:
+        if not waiting and later:
+            late = np.array([a for a in dict.fromkeys(later) if not seen[a]], np.int64)
+            later.clear()
+            if len(late):
+                found(late)
+        if not waiting:
+            break
+        chosen = waiting[0]
+        if bisect.bisect(members, chosen) >= config.l_search or (not inside and bisect.bisect(visited, chosen) >= config.capacity):
             break
         if chosen[0] > 2 * config.range_partial:
             stats["range_stop"] = True
             break
-        visited.add(chosen[2])
-        members += graph.member is None or bool(graph.member[chosen[2]])
+        heapq.heappop(waiting)
+        bisect.insort(visited, chosen)
+        if graph.member is None or graph.member[chosen[2]]:
+            bisect.insort(members, chosen)
         stats["n_hops"] += 1
         if graph.cached is not None and graph.cached[chosen[2]]:
             stats["cache_hits"] += 1
         elif graph.page is not None:
             pages.add(int(graph.page[chosen[2]]))
-        fresh = [a for a in graph.around(chosen[2]).tolist() if not seen[a]]
-        if admit_only_members and graph.member is not None:
-            fresh = [a for a in fresh if graph.member[a]] + [a for a in fresh if not graph.member[a]]
-        if fresh:
-            fresh = np.array(list(dict.fromkeys(fresh)))
-            seen[fresh] = True
-            found = [(float(d), int(graph.ids[a]), int(a)) for d, a in zip(approximate(fresh), fresh, strict=True)]
-            pool = list(heapq.merge(pool, sorted(found)))[: config.capacity]
+        near = graph.around(chosen[2])
+        fresh = near[~seen[near]]
+        if inside:
+            dense = graph.densely_around(chosen[2])
+            dense = dense[~seen[dense] & graph.member[dense]]
+            first = list(dict.fromkeys([*fresh[graph.member[fresh]].tolist(), *dense.tolist()]))
+            others = list(dict.fromkeys(fresh[~graph.member[fresh]].tolist()))
+            room = max(0, len(near) - len(first))
+            later += others[room:]
+            fresh = np.array(first + others[:room], np.int64)
+        else:
+            fresh = np.array(list(dict.fromkeys(fresh.tolist())), np.int64)
+        if len(fresh):
+            found(fresh)
     stats["pages_touched"] = len(pages)
+    reached = [item[2] for item in visited]
     if config.defer_exact_until_refinement or config.refine_k or config.refine_ratio:
-        wanted = [item[2] for item in pool[: config.refine_bound(len(pool))]]
+        pool = [item for item in every if graph.member[item[2]]] if inside else every
+        wanted = [item[2] for item in heapq.nsmallest(config.refine_bound(min(len(pool), config.capacity)), pool)]
         if not config.defer_exact_until_refinement:
-            wanted = list(dict.fromkeys([*wanted, *visited]))
+            wanted = list(dict.fromkeys([*wanted, *reached]))
     else:
-        wanted = sorted(visited)
+        wanted = sorted(reached)
     if graph.member is not None:
         wanted = [a for a in wanted if graph.member[a]]
     out = sorted((float(d), int(graph.ids[a]), a) for d, a in zip(exact(wanted), wanted, strict=True)) if wanted else []

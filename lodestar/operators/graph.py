@@ -15,11 +15,15 @@ from lodestar.operators.exact import matrix, nearest, query_blocks
 from lodestar.runtime import saved, ship
 
 
-def knn_graph(base: DataFrame, degree: int) -> DataFrame:
-    """Exact nearest others of every node by (distance, id): all nodes are the query set, block by block."""
-    found = nearest(base, base.select(F.col("id").alias("qid"), "vector"), degree, skip_self=True)
+def knn_graph(base: DataFrame, degree: int, dense: int = 0) -> DataFrame:
+    """Exact nearest others of every node by (distance, id): all nodes are the query set, block by block.
+
+    Those behind the first ``degree``, up to ``dense`` in all, are dense neighbours.
+    """
+    found = nearest(base, base.select(F.col("id").alias("qid"), "vector"), max(degree, dense), skip_self=True)
     lists = found.groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("n")))).alias("x"))
-    return lists.select("id", F.transform("x", lambda x: x["n"]).alias("nbrs"), F.array().cast("array<long>").alias("dense_nbrs"))
+    every = F.transform("x", lambda x: x["n"])
+    return lists.select("id", F.slice(every, 1, degree).alias("nbrs"), F.slice(every, degree + 1, max(0, dense - degree)).alias("dense_nbrs"))
 
 
 def edges(graph: DataFrame, column: str = "nbrs") -> DataFrame:

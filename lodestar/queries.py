@@ -236,8 +236,8 @@ def pq_validate(spark, d):
 
 
 # --- graphs -----------------------------------------------------------------
-def _graph(spark, d, degree=DEGREE):
-    return saved(graph.knn_graph(base_of(spark, d), degree), "knn")
+def _graph(spark, d, degree=DEGREE, dense=0):
+    return saved(graph.knn_graph(base_of(spark, d), degree, dense), "knn")
 
 
 @query(f"WITH {EDGES} SELECT src, dst, (rank - 1)::INTEGER AS pos FROM E")
@@ -385,7 +385,7 @@ def ground_truth_topk(spark, d):
 
 def _walkable(spark, d, member=None):
     base = base_of(spark, d)
-    g = saved(graph.with_reverse(_graph(spark, d, 16)), "walkable")
+    g = saved(graph.with_reverse(_graph(spark, d, 16, 32 if member else 0)), "walkable")
     rows = base.withColumn("member", F.col("label").isin(LABELS)) if member else base
     return base, g, beam.load(g, rows, member="member" if member else None)
 

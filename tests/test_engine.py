@@ -81,6 +81,33 @@ def test_filter_modes(spark, filtered):
     assert seven.selectivity(base) == 0.5
 
 
+@pytest.fixture(scope="module")
+def rare(spark):
+    """2,000 vectors, one in a hundred with the label; queries and the flat graph with its members."""
+    rng = np.random.default_rng(5)
+    base = frame(spark, [(i, v.tolist(), int(i % 100 == 7)) for i, v in enumerate(rng.standard_normal((2000, 16)))], ", label int").cache()
+    g = graph.with_reverse(graph.knn_graph(base, 8, 16)).cache()
+    return base, g, asked(spark, *rng.standard_normal((20, 16))), beam.load(g, base.withColumn("member", F.col("label") == 1), member="member")
+
+
+@pytest.mark.parametrize("more", [{}, {"defer_exact_until_refinement": True, "refine_k": 20}])
+def test_in_filter_with_rare_label(spark, rare, more):
+    base, g, q, flat = rare
+    truth = exact.prefilter_search(base, q, exact.LabelOr([1]), 10)
+    found = beam.search(flat, q, 0, cfg.SearchConfig(top_k=10, l_search=20, **more), in_filter=True)
+    assert ids(found) == ids(truth)
+    assert beam.search(flat, q, 0, cfg.SearchConfig(top_k=30, l_search=30), in_filter=True).count() == 20 * 20
+
+
+def test_in_filter_follows_dense_neighbours(spark):
+    base = frame(spark, [(i, [float(i)], int(i == 3)) for i in range(4)], ", label int").withColumn("member", F.col("label") == 1)
+    g = spark.createDataFrame([(0, [1], [3]), (1, [0, 2], []), (2, [1], []), (3, [2], [])], "id long, nbrs array<long>, dense_nbrs array<long>")
+    one = cfg.SearchConfig(top_k=1, l_search=1)
+    assert ids(beam.search(beam.load(g, base, member="member"), asked(spark, [0]), 0, one, in_filter=True)) == [3]
+    assert [r["nodes"] for r in graph.validate(graph.knn_graph(base, 1, 3), 4, 1, 2).collect()] == [0] * 5
+    assert beam.load(g, base).dense_nbrs is None
+
+
 def test_filter_costs():
     c = cfg.SearchConfig(l_search=10, l_pool=20)
     costs = cfg.filter_costs(0.5, 1.0, 7, 3, c, 100, 8, 0)
