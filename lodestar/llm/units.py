@@ -81,8 +81,9 @@ class UnitEncoder:
 
     ``encode(units, first)`` gets distinct units (bytes, and whether each
     opens its text) and returns a list of ids for each; ``split`` may name
-    further borders at which the tokenizer always cuts.  The cache is bounded
-    by ``MAX_CACHED_UNITS`` and kept between the tasks of a worker.
+    further borders at which the tokenizer always cuts.  The cache never holds
+    more than ``MAX_CACHED_UNITS`` and is kept between the tasks of a worker; a
+    chunk with more units passes it in slices.
     """
 
     def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], white: Callable[[np.ndarray], np.ndarray], mark_first: bool = False, split: Callable[[np.ndarray], np.ndarray] | None = None):
@@ -113,8 +114,6 @@ class UnitEncoder:
         """(ids, row starts with the total at the end) of one chunk of rows."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        if self.index.n > MAX_CACHED_UNITS:
-            self._clear()
         white = self.white(data)
         opens = white.copy()
         opens[1:] &= ~white[:-1]
@@ -132,18 +131,33 @@ class UnitEncoder:
         if self.mark_first:
             h[leads] += _STEP[5]
         h = _mix(h)
+        raw = data.tobytes()
+        lens, parts = np.zeros(len(begin), np.int64), []
+        step = MAX_CACHED_UNITS // 4
+        for a in range(0, len(begin), step):
+            own = slice(a, a + step)
+            code = self._codes(h[own], raw, begin[own], end[own], leads[own])
+            lens[own] = self.lens[code]
+            stop = np.cumsum(lens[own])
+            parts.append(self.flat[np.repeat(self.starts[code] - (stop - lens[own]), lens[own]) + np.arange(stop[-1])])
+        before = np.concatenate([[0], np.cumsum(lens)])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts), before[np.searchsorted(begin, offsets)]
+
+    def _codes(self, h: np.ndarray, raw: bytes, begin: np.ndarray, end: np.ndarray, leads: np.ndarray) -> np.ndarray:
+        """The cache's code of each unit of a slice, good until the next call."""
         code = self.index.find(h)
         new = np.flatnonzero(code < 0)
-        if len(new):
-            fresh, at = np.unique(h[new], return_index=True)
-            spots, raw = new[at], data.tobytes()
-            self._learn(fresh, [raw[a:b] for a, b in zip(begin[spots].tolist(), end[spots].tolist(), strict=True)], leads[spots].tolist())
-            code[new] = self.index.find(h[new])
-        lens = self.lens[code]
-        stop = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.starts[code] - (stop - lens), lens) + np.arange(stop[-1])]
-        before = np.concatenate([[0], stop])
-        return ids, before[np.searchsorted(begin, offsets)]
+        if not len(new):
+            return code
+        fresh, at = np.unique(h[new], return_index=True)
+        if self.index.n + len(fresh) > MAX_CACHED_UNITS:
+            self._clear()
+            new = np.arange(len(h))
+            fresh, at = np.unique(h, return_index=True)
+        spots = new[at]
+        self._learn(fresh, [raw[a:b] for a, b in zip(begin[spots].tolist(), end[spots].tolist(), strict=True)], leads[spots].tolist())
+        code[new] = self.index.find(h[new])
+        return code
 
     def batches(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, row starts) for the chunks of a column; null is empty."""

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import signal
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from lodestar.llm import components, imatch, langid, lengths, mixing, ngramjoin, pii, pstable, sentencepieces, slots, textkit, tokenfile, warc
+from lodestar.llm import components, imatch, langid, lengths, mixing, ngramjoin, pii, pstable, sentencepieces, slots, textkit, tokenfile, units, warc
 from lodestar.llm import queries as q
 from lodestar.llm.bytebpe import encoder
 from lodestar.llm.pieces import piece_table
@@ -36,6 +37,28 @@ def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+# units
+@pytest.mark.parametrize("name", ["pieces", "byte_bpe"])
+def test_more_units_in_a_row_than_the_cache_holds(monkeypatch, name):
+    usual = piece_table(q.PIECES)[1] if name == "pieces" else encoder(q.BYTE_BPE)
+    column = pa.array(["a few words first", " ".join(f"id{i % 90} {i % 7}" for i in range(300)), None, "id3 and words", " ".join(map(str, range(90)))])
+    want = [(a, b, ids.tolist(), at.tolist()) for a, b, ids, at in usual.batches(column)]
+    monkeypatch.setattr(units, "MAX_CACHED_UNITS", 20)
+    small = units.UnitEncoder(usual.encode, usual.white, usual.mark_first, usual.split)
+
+    def late(*_):
+        raise TimeoutError("the table of units is full")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(30)
+    try:
+        got = [(a, b, ids.tolist(), at.tolist()) for a, b, ids, at in small.batches(column)]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert got == want and small.index.n <= 20
+
+
 # 1: language identification
 def test_language_accuracy(spark, texts):
     rows = q.op1_language_id(spark, SMALL).collect()
