@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar import queries
 from lodestar.cli import main
 from lodestar.functions.distance import block_l2, l2_squared
 from lodestar.index import build_index, load_index
@@ -55,6 +56,20 @@ def test_range_partial_stops_early(spark, toy):
     assert any(r["range_stop"] for r in got.collect()) or got.count() == 0
 
 
+def test_bfs_levels_has_no_last_hop(spark, tmp_path):
+    rows = [(i, [float(i)], 0) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    near = {i: sorted((j for j in range(80) if j != i), key=lambda j: (abs(i - j), j))[: queries.DEGREE] for i in range(80)}
+    plain, ahead = {0: 0}, [0]
+    for i in ahead:
+        for j in near[i]:
+            if j not in plain:
+                plain[j] = plain[i] + 1
+                ahead.append(j)
+    assert max(plain.values()) > 12
+    assert {r["id"]: r["level"] for r in queries.bfs_levels(spark, str(tmp_path)).collect()} == plain
+
+
 def test_frontier_equals_exact(spark, toy):
     base, g = toy
     q = asked(spark, [0.95, 0.15, 0], [-1, 0, 0.6])
