@@ -10,12 +10,14 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
+_FREED_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
@@ -43,9 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _own.get(context.applicationId)
+    if base is None and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if base is None:
         base = tempfile.mkdtemp(prefix="lodestar-shared-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
@@ -63,22 +67,58 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Cuts the lineage: what follows survives lost executors without running
-    ``df`` again.
+    ``df`` again, and the shuffle files behind it go once it is written.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def one_by_one(spark: SparkSession, frames: Iterator[DataFrame], count: int, schema: str, name: str) -> DataFrame:
+    """The rows of ``count`` frames of one schema: of one frame, itself; of more, written one after the other and read at once."""
+    if count > 1:
+        paths = [saved(df, name).saved_path for df in frames]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return next(frames, None) or spark.createDataFrame([], schema)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs within removes its shuffle files when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(_FREED_SHUFFLES, "false")
+    spark.conf.set(_FREED_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED_SHUFFLES, before)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files below a ``saved`` frame that nothing will read again."""
-    spark = df.sparkSession
-    base = shared_folder(spark)
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        if "/" + base.split("://")[-1].strip("/") + "/" in "/" + folder.split("://")[-1].lstrip("/"):
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``saved`` frames that nothing will read again."""
+    for df in frames:
+        system, target = _on_disk(df.sparkSession, df.saved_path)
+        system.delete(target, True)
+
+
+def _on_disk(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system that Spark reads."""
+    system, target = _on_disk(spark, path)
+    return bool(system.exists(target))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    system, target = _on_disk(spark, path)
+    return int(system.getContentSummary(target).getLength())
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,16 +129,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def task_count(df: DataFrame, bytes_per_task: int = 48 << 20, floor: int | None = None) -> int:
     """Shuffle partitions for a table of this size: at least the session's own number.
 
-    Takes the sizes of what the plan reads (for files: bytes on disk), so the
-    number follows the input and no partition outgrows an executor.  What has
-    no known size counts as nothing.
+    The number follows the input (``size_of``), so that no partition outgrows
+    an executor.
     """
-    spark = df.sparkSession
+    least = floor or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size_of(df) // bytes_per_task))
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of what the plan reads (for files: on disk); what has no known size counts as nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = sum(x for x in known if x < 1 << 60)
-    least = floor or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-size // bytes_per_task))
+    return sum(x for x in known if x < 1 << 60)
 
 
 def steady_memory(block: int = 2 << 20) -> None:
