@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.index import build_index, load_index
+from lodestar.index import build_index, inspect_files, inspect_page, load_index
 from lodestar.operators import beam, bench, exact, pq
 from lodestar.plans.config import BeamPolicy, BuildConfig, CachePolicy, DistanceKind, SchedulerPolicy, SearchConfig, Sweep, parse_enum, parse_list, parse_vector
 from lodestar.sources.vectors import read_truth, read_vectors, toy_vectors, write_truth
@@ -25,10 +25,14 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--base")
     build.add_argument("--format", choices=[*FORMATS, "toy"], default="toy")
     build.add_argument("--out", required=True)
-    for name in ("degree", "dense_degree", "page_nodes", "ldg_times", "pq_subspaces", "pq_centroids", "pq_iterations", "toy_points"):
+    for name in ("degree", "dense_degree", "r_ood", "l_ood", "build_l", "candidates", "page_nodes", "ldg_times", "pq_subspaces", "pq_centroids", "pq_iterations", "toy_points"):
         build.add_argument(f"--{name}", type=int, default=getattr(BuildConfig, name))
     build.add_argument("--partition_scale", type=float, default=0.0)
+    build.add_argument("--alpha", type=float, default=BuildConfig.alpha)
     build.add_argument("--entry", type=int)
+    build.add_argument("--train")
+    build.add_argument("--train_format", choices=FORMATS, default="text")
+    build.add_argument("--graph", choices=["pruned", "nearest"], default="pruned")
     search = commands.add_parser("search")
     run = commands.add_parser("bench")
     for one in (search, run):
@@ -37,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--format", choices=FORMATS, default="text")
         one.add_argument("--top_k", type=int, default=5)
     search.add_argument("--query", type=parse_vector)
-    search.add_argument("--kind", type=lambda t: parse_enum(DistanceKind, t), default=DistanceKind.PQ)
+    search.add_argument("--kind", type=lambda t: parse_enum(DistanceKind, t))
     for name in ("beam_width", "l_search", "l_pool", "mem_l", "refine_k"):
         search.add_argument(f"--{name}", type=int, default=getattr(SearchConfig, name))
     search.add_argument("--refine_ratio", type=float, default=0.0)
@@ -57,7 +61,9 @@ def parser() -> argparse.ArgumentParser:
         exact_truth.add_argument(f"--{name}", required=True)
     exact_truth.add_argument("--format", choices=FORMATS, default="text")
     exact_truth.add_argument("--top_k", type=int, default=5)
-    commands.add_parser("inspect").add_argument("--index", required=True)
+    look = commands.add_parser("inspect")
+    look.add_argument("--index", required=True)
+    look.add_argument("--page", type=int)
     merged = commands.add_parser("merge")
     merged.add_argument("inputs", nargs="+")
     merged.add_argument("--out", required=True)
@@ -83,18 +89,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("lodestar").getOrCreate()
     if a.command == "build":
-        config = BuildConfig(**{k: getattr(a, k) for k in ("degree", "dense_degree", "page_nodes", "ldg_times", "pq_subspaces", "pq_centroids", "pq_iterations", "toy_points", "partition_scale", "entry")})
+        config = BuildConfig(**{k: getattr(a, k) for k in ("degree", "dense_degree", "r_ood", "l_ood", "build_l", "candidates", "alpha", "page_nodes", "ldg_times", "pq_subspaces", "pq_centroids", "pq_iterations", "toy_points", "partition_scale", "entry")})
         base = toy_vectors(spark, config.toy_points) if a.format == "toy" else read_vectors(spark, a.base, a.format)
-        print(build_index(base, a.out, config).meta)
+        train = _queries(spark, a.train, a.train_format) if a.train else None
+        print(build_index(base, a.out, config, train, pruned=a.graph == "pruned").meta)
     elif a.command == "search":
         index = load_index(spark, a.index)
         queries = spark.createDataFrame([(0, a.query)], "qid long, vector array<double>") if a.query else _queries(spark, a.queries, a.format)
         config = SearchConfig(top_k=a.top_k, beam_width=a.beam_width, l_search=a.l_search, l_pool=a.l_pool, mem_l=a.mem_l, refine_k=a.refine_k, refine_ratio=a.refine_ratio, range_partial=a.range_partial)
-        beam.search(_graph(index, a.kind), queries, index.meta["entry"], config).orderBy("qid", "rank").show(1000, False)
+        beam.search(_graph(index, a.kind or index.default_kind), queries, index.meta["entry"], config).orderBy("qid", "rank").show(1000, False)
     elif a.command == "bench":
         index, queries = load_index(spark, a.index), _queries(spark, a.queries, a.format)
         truth = read_truth(spark, a.ground_truth) if a.ground_truth else exact.nearest(index.vectors, queries, a.recall_at_k or a.top_k) if a.generate_ground_truth else None
-        sweep = Sweep(SearchConfig(top_k=a.top_k), values={k: v for k, v in vars(a).items() if isinstance(v, list)})
+        sweep = Sweep(SearchConfig(top_k=a.top_k), index.default_kind, values={k: v for k, v in vars(a).items() if isinstance(v, list)})
         paged = {kind: beam.PagedGraph(_graph(index, kind), index.layout, index.graph, index.meta["entry"]) for kind in {kind for kind, _ in sweep.runs()}}
         rows = [bench.run_bench(spark, paged[kind].under(config), queries, index.meta["entry"], kind, config, truth, a.recall_at_k) for kind, config in sweep.runs()]
         folder = a.experiment_dir or bench.experiment_folder(a.experiment_root, a.label, a.index.rstrip("/").rpartition("/")[2], rows[0]["queries"])
@@ -106,6 +113,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "inspect":
         index = load_index(spark, a.index)
         bench.inspect_index(index.vectors, index.graph, index.layout).show(truncate=False)
+        inspect_files(spark, a.index).show(100, truncate=False)
+        if a.page is not None:
+            inspect_page(index, a.page).show(1000, truncate=False)
     elif a.command == "merge":
         bench.write_tsv(bench.merge([bench.read_tsv(spark, x) for x in a.inputs]), a.out)
     else:
@@ -113,7 +123,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         rows = bench.compare(bench.read_tsv(spark, a.baseline), bench.read_tsv(spark, a.candidate), measures)
         if a.out:
             bench.write_tsv(rows, a.out)
-        print(bench.compare_markdown(rows, ["approx_kind", "beam_width", "l_search", "delta_average_latency_ms", "delta_qps", "delta_n_hops", "delta_average_recall"]))
+        print(bench.compare_markdown(rows, a.baseline, a.candidate))
     return 0
 
 

@@ -34,7 +34,8 @@ RESULT = "qid long, rank int, id long, distance double, n_hops long, n_cmps long
 class Graph:
     """Flat adjacency and vectors, ids ascending.
 
-    ``member`` marks what a filter admits, ``page`` names each node's page, and
+    ``member`` marks what a filter admits, ``maybe`` what it may admit as far as
+    an approximate check tells (all members and some others), ``page`` names each node's page, and
     ``cached`` marks nodes whose adjacency is kept; the last two only count.
     Dense neighbours are further links that only a filter within the walk follows.
     """
@@ -46,6 +47,7 @@ class Graph:
     codes: np.ndarray | None = None
     pivots: np.ndarray | None = None
     member: np.ndarray | None = None
+    maybe: np.ndarray | None = None
     page: np.ndarray | None = None
     cached: np.ndarray | None = None
     dense_starts: np.ndarray | None = None
@@ -68,15 +70,16 @@ def size_of(graph: DataFrame, base: DataFrame) -> int:
     return 8 * links + 8 * n * dim
 
 
-def load(graph: DataFrame, base: DataFrame, codes: DataFrame | None = None, pivots: np.ndarray | None = None, member: str | None = None) -> Graph:
+def load(graph: DataFrame, base: DataFrame, codes: DataFrame | None = None, pivots: np.ndarray | None = None, member: str | None = None, maybe: str | None = None) -> Graph:
     """The flat form of ``graph(id, nbrs)`` and ``base(id, vector)``; an error beyond ``TRAVELLING_BYTES``.
 
-    Dense neighbours come along where ``member`` names a filter's column.
+    Dense neighbours come along where ``member`` names a filter's column;
+    ``maybe`` names that of its approximate check.
     """
     graph = graph.select("id", "nbrs", *(["dense_nbrs"] if member and "dense_nbrs" in graph.columns else []))
     if size_of(graph, base) > TRAVELLING_BYTES:
         raise ValueError("the graph is too large to travel: use frontier_search")
-    rows = base.select("id", "vector", *([member] if member else [])).join(graph, "id", "left")
+    rows = base.select("id", "vector", *[c for c in (member, maybe) if c]).join(graph, "id", "left")
     if codes is not None:
         rows = rows.join(codes, "id")
     pdf = rows.orderBy("id").toPandas()
@@ -92,7 +95,7 @@ def load(graph: DataFrame, base: DataFrame, codes: DataFrame | None = None, pivo
 
     starts, nbrs = flat("nbrs")
     dense_starts, dense_nbrs = flat("dense_nbrs") if "dense_nbrs" in pdf else (None, None)
-    return Graph(ids, starts, nbrs, np.array(pdf["vector"].tolist(), float), None if codes is None else np.array(pdf["codes"].tolist(), np.int64), pivots, None if member is None else pdf[member].fillna(False).to_numpy(bool), dense_starts=dense_starts, dense_nbrs=dense_nbrs)
+    return Graph(ids, starts, nbrs, np.array(pdf["vector"].tolist(), float), None if codes is None else np.array(pdf["codes"].tolist(), np.int64), pivots, *(None if c is None else pdf[c].fillna(False).to_numpy(bool) for c in (member, maybe)), dense_starts=dense_starts, dense_nbrs=dense_nbrs)
 
 
 def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admit_only_members: bool = False) -> tuple[list[tuple[float, int]], dict]:
@@ -104,9 +107,9 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
     exact distances when visited or, deferred, among the best by approximate
     distance at the end.
 
-    With ``admit_only_members`` a visited node hands on its members among base
-    and dense neighbours first and fills up to its number of base neighbours
-    with others.  Others that find no room wait until no candidate is left, and
+    With ``admit_only_members`` a visited node hands on its members (those that
+    an approximate check admits, if the graph has one) among base and dense
+    neighbours first and fills up to its number of base neighbours with others.  Others that find no room wait until no candidate is left, and
     no number of others crowds a candidate out: the walk ends with fewer than
     ``l_search`` members only where no more are within reach.
     """
@@ -130,6 +133,7 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
         far = None
     near = approximate(seeds) if far is None else far[seeds]
     inside = admit_only_members and graph.member is not None
+    admitted = graph.member if graph.maybe is None else graph.maybe
     seen = np.zeros(len(graph.ids), bool)
     seen[seeds] = True
     waiting = [(float(d), int(graph.ids[a]), int(a)) for d, a in zip(near, seeds, strict=True)]
@@ -172,9 +176,9 @@ def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admi
         fresh = near[~seen[near]]
         if inside:
             dense = graph.densely_around(chosen[2])
-            dense = dense[~seen[dense] & graph.member[dense]]
-            first = list(dict.fromkeys([*fresh[graph.member[fresh]].tolist(), *dense.tolist()]))
-            others = list(dict.fromkeys(fresh[~graph.member[fresh]].tolist()))
+            dense = dense[~seen[dense] & admitted[dense]]
+            first = list(dict.fromkeys([*fresh[admitted[fresh]].tolist(), *dense.tolist()]))
+            others = list(dict.fromkeys(fresh[~admitted[fresh]].tolist()))
             room = max(0, len(near) - len(first))
             later += others[room:]
             fresh = np.array(first + others[:room], np.int64)
@@ -222,6 +226,9 @@ def search(graph: Graph, queries: DataFrame, entry: int, config: SearchConfig, w
     return queries.select("qid", F.col("vector").cast("array<double>")).mapInArrow(run, RESULT)
 
 
+pipe_search = search
+
+
 def frontier_search(graph: DataFrame, base: DataFrame, queries: DataFrame, entry: int, config: SearchConfig) -> DataFrame:
     """``qid, rank, id, distance`` for graphs of any size: all queries advance together.
 

@@ -145,14 +145,45 @@ def compare(baseline: DataFrame, candidate: DataFrame, measures: list[str], key:
     return left.join(right, on).select(*[F.col(f"c.{k}").alias(k) for k in key], *[F.col(f"was.{m}").alias(f"baseline_{m}") for m in measures], *[F.col(f"c.{m}").alias(f"candidate_{m}") for m in measures], *deltas)
 
 
-def compare_markdown(rows: DataFrame, columns: list[str]) -> str:
-    """A small comparison as a Markdown table, rows in key order; an error without any."""
+# Columns of a comparison in Markdown, and where they come from.
+MARKDOWN = {
+    "approx_kind": "approx_kind",
+    "beam_width": "beam_width",
+    "l_search": "l_search",
+    "graph_cache_budget_bytes": "graph_cache_budget_bytes",
+    "graph_cache_policy": "graph_cache_policy",
+    "refine_k": "refine_k",
+    "refine_ratio": "refine_ratio",
+    "defer_exact": "defer_exact_until_refinement",
+    "scheduler_policy": "scheduler_policy",
+    "scheduler_limit": "scheduler_policy_limit",
+    "dynamic_beam": "dynamic_beam_policy",
+    "baseline_qps": "baseline_qps",
+    "candidate_qps": "candidate_qps",
+    "delta_qps": "delta_qps",
+    "baseline_recall": "baseline_average_recall",
+    "candidate_recall": "candidate_average_recall",
+    "delta_recall": "delta_average_recall",
+    "baseline_latency_ms": "baseline_average_latency_ms",
+    "candidate_latency_ms": "candidate_average_latency_ms",
+    "delta_latency_ms": "delta_average_latency_ms",
+}
+
+
+def compare_markdown(rows: DataFrame, baseline: str = "baseline", candidate: str = "candidate") -> str:
+    """A small comparison as Markdown, rows in key order; no recall is -1; an error without any row."""
     found = rows.orderBy(*[c for c in RUN_KEY if c in rows.columns]).collect()
     if not found:
         raise ValueError("no run of the candidate has its like in the baseline")
-    text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join([*lines, *("| " + " | ".join(text(r[c]) for c in columns) + " |" for r in found)]) + "\n"
+
+    def text(name: str, v: object) -> str:
+        v = -1.0 if v is None and name.endswith("recall") else v
+        return f"{v:.6f}" if isinstance(v, float) else str(v)
+
+    lines = ["# Bench Comparison", "", f"- Baseline: `{baseline}`", f"- Candidate: `{candidate}`", f"- Matched runs: {len(found)}", ""]
+    texts = {"approx_kind", "graph_cache_policy", "scheduler_policy", "dynamic_beam"}
+    lines += ["| " + " | ".join(MARKDOWN) + " |", "| " + " | ".join("---" if c in texts else "---:" for c in MARKDOWN) + " |"]
+    return "\n".join([*lines, *("| " + " | ".join(text(c, r[own]) for c, own in MARKDOWN.items()) + " |" for r in found)]) + "\n"
 
 
 def experiment_folder(root: str, label: str = "", stem: str = "index", queries: int = 0, now: datetime | None = None) -> str:

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.distance import block_l2
 from lodestar.operators.exact import matrix, nearest, query_blocks
-from lodestar.runtime import saved, ship
+from lodestar.runtime import one_by_one, saved, ship
 
 
 def knn_graph(base: DataFrame, degree: int, dense: int = 0) -> DataFrame:
@@ -82,14 +82,9 @@ def medoid(base: DataFrame) -> DataFrame:
 
         return run
 
-    parts = [rows.mapInArrow(summed(ids, block), "id long, part double") for ids, block in query_blocks(base.select(F.col("id").alias("qid"), "vector"))]
-    if not parts:
-        return base.sparkSession.createDataFrame([], "id long, total double")
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    totals = every.groupBy("id").agg(F.round(F.sum("part"), 6).alias("total"))
-    return totals.orderBy("total", "id").limit(1)
+    count, blocks = query_blocks(base.select(F.col("id").alias("qid"), "vector"))
+    sums = (rows.mapInArrow(summed(ids, block), "id long, part double").groupBy("id").agg(F.round(F.sum("part"), 6).alias("total")) for ids, block in blocks)
+    return one_by_one(base.sparkSession, sums, count, "id long, total double", "medoid").orderBy("total", "id").limit(1)
 
 
 def bfs_levels(graph: DataFrame, entry: int, most: int | None = None) -> DataFrame:
@@ -141,14 +136,65 @@ def alpha_prune(base: DataFrame, candidates: DataFrame, degree: int, alpha: floa
     return rows.groupBy("id").applyInPandas(prune, "id long, nbrs array<long>")
 
 
-def pruned_graph(base: DataFrame, degree: int, pool: int, alpha: float = 1.2) -> DataFrame:
-    """A navigable graph: pruned candidates, reverse edges, and pruned again to the degree."""
-    first = alpha_prune(base, knn_graph(base, pool).select("id", "nbrs"), degree, alpha)
+def pruned_graph(base: DataFrame, degree: int, pool: int, alpha: float = 1.2, candidates: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """A navigable graph: pruned candidates (the ``pool`` nearest, if not given), reverse edges, and pruned again to the degree.
+
+    ``most`` bounds a node's candidates with its reverse edges; 0 doesn't.
+    """
+    candidates = knn_graph(base, pool).select("id", "nbrs") if candidates is None else candidates
+    first = alpha_prune(base, candidates, degree, alpha)
     both = with_reverse(saved(first, "pruned").withColumn("dense_nbrs", F.array().cast("array<long>")))
-    again = alpha_prune(base, both.select("id", "nbrs"), degree, alpha)
+    again = alpha_prune(base, both.select("id", F.slice("nbrs", 1, most).alias("nbrs") if most else "nbrs"), degree, alpha)
     return again.withColumn("dense_nbrs", F.array().cast("array<long>"))
 
 
+def refine_edges(base: DataFrame, train: DataFrame, most: int, pool: int) -> DataFrame:
+    """``id, nbrs, ehs``: edges that training queries ask for, at most ``most`` for each node.
+
+    The row nearest to a query ``train(qid, vector)`` is linked to the others
+    among the query's ``pool`` nearest; ``ehs`` says how many queries ask for
+    each edge.  Most asked first, then nearest to any query, then by id.
+    """
+    near = saved(nearest(base, train, pool), "asked")
+    hub = near.filter("rank = 1").select("qid", F.col("id").alias("hub"))
+    asked = near.filter("rank > 1").join(hub, "qid").groupBy("hub", "id").agg(F.count(F.lit(1)).cast("int").alias("eh"), F.min("rank").alias("near"))
+    place = F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("eh"), "near", "id"))
+    kept = asked.withColumn("place", place).filter(F.col("place") <= most)
+    lists = kept.groupBy(F.col("hub").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("n"), "eh"))).alias("x"))
+    return lists.select("id", F.transform("x", lambda x: x["n"]).alias("nbrs"), F.transform("x", lambda x: x["eh"]).alias("ehs"))
+
+
+def validate_refine(refine: DataFrame, most: int) -> DataFrame:
+    """``problem, nodes``: nodes whose refinement edges break a rule, for every rule."""
+    rules = {"refine degree": F.size("nbrs") > most, "counts differ": F.size("nbrs") != F.size("ehs")}
+    row = refine.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name) for name, c in rules.items()])
+    return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*[F.col(f"`{n}`") for n in rules]))).alias("problem", "nodes"))
+
+
+def production_graph(base: DataFrame, degree: int, dense: int, pool: int, alpha: float = 1.2, refine: DataFrame | None = None, tail: int = 0, most: int = 0) -> DataFrame:
+    """``id, nbrs, dense_nbrs``: pruned base edges, refinement edges behind them, and the nearest others as dense ones.
+
+    With refinement edges the last ``tail`` of the degree are theirs.  Dense
+    neighbours are at most ``dense - degree``.
+    """
+    near = saved(knn_graph(base, max(pool, dense)).select("id", "nbrs"), "near")
+    own = pruned_graph(base, degree - (tail if refine is not None else 0), pool, alpha, near.select("id", F.slice("nbrs", 1, pool).alias("nbrs")), most)
+    rows = near.select("id", F.col("nbrs").alias("near")).join(own.select("id", "nbrs"), "id", "left")
+    none = F.array().cast("array<long>")
+    nbrs = F.coalesce("nbrs", none)
+    if refine is not None:
+        rows = rows.join(refine.select("id", F.col("nbrs").alias("asked")), "id", "left")
+        nbrs = F.slice(F.array_distinct(F.concat(nbrs, F.filter(F.coalesce("asked", none), lambda x: x != F.col("id")))), 1, degree)
+    rows = rows.withColumn("nbrs", nbrs)
+    return rows.select("id", "nbrs", F.slice(F.array_except("near", "nbrs"), 1, max(0, dense - degree)).alias("dense_nbrs"))
+
+
+def copied_neighbours(graph: DataFrame) -> DataFrame:
+    """``id, nbrs``: base neighbours with the dense ones behind them, repeats and all."""
+    none = F.array().cast("array<long>")
+    return graph.select("id", F.concat(F.coalesce("nbrs", none), F.coalesce("dense_nbrs", none)).alias("nbrs"))
+
+
 def entry_point(base: DataFrame, override: int | None = None) -> int:
     """The given entry, checked, or the medoid."""
     if override is not None:

@@ -73,11 +73,12 @@ def ldg_layout(graph: DataFrame, capacity: int, scale: float = 1.0, rounds: int
                 p = min((q for q in rest if len(pages[q]) < capacity), key=lambda q: (len(pages[q]), q))
                 home[x] = p
                 pages[p].append(x)
-        for _ in range(rounds):
+        for _ in range(rounds):  # all pages but the primary ones are emptied, and the nodes come anew in another order
+            for p in rest:
+                pages[p] = []
             for x in rng.permutation(loose).tolist():
-                pages[home[x]].remove(x)
                 ties: dict[int, int] = {}
-                for y in [*near[x], *back.get(x, [])]:
+                for y in [*near[x], *back.get(x, [])]:  # those that come later count where they last were
                     if y in home and y != x:
                         ties[home[y]] = ties.get(home[y], 0) + 1
                 best, found = 0.0, None

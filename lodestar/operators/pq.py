@@ -95,6 +95,15 @@ def train(base: DataFrame, chunks: int, centroids: int, iterations: int = 6) ->
     return pivots, costs
 
 
+def train_centred(base: DataFrame, chunks: int, centroids: int, iterations: int = 6) -> tuple[np.ndarray, list[float]]:
+    """The same on vectors less their mean, which is added to the pivots again: distances are those of centred vectors and queries."""
+    means = base.select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("pos").collect()
+    mean = [r["m"] for r in means]
+    centred = base.select("id", F.zip_with(F.col("vector").cast("array<double>"), F.array(*map(F.lit, mean)), lambda x, m: x - m).alias("vector"))
+    pivots, costs = train(centred, chunks, centroids, iterations)
+    return pivots + np.array(mean).reshape(chunks, 1, -1), costs
+
+
 def encode(base: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``id, codes``: nearest centroid of every chunk, a map over the rows."""
     ship(base.sparkSession)

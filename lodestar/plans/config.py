@@ -140,9 +140,10 @@ class BuildConfig:
 
     degree: int = 4
     dense_degree: int = 0  # 0: twice the degree
-    r_ood: int = 0
-    build_l: int = 64
-    candidates: int = 128
+    r_ood: int = 0  # edges of a node that training queries choose; without such queries there are none
+    l_ood: int = 1500  # rows near a training query that it chooses among
+    build_l: int = 64  # nearest rows that pruning starts from, at least the degree
+    candidates: int = 128  # of a node, reverse edges included, when it is pruned again
     alpha: float = 1.2
     page_nodes: int = 4
     partition_scale: float = 0.0  # 0: the page capacity
@@ -161,9 +162,9 @@ class BuildConfig:
     def checked(self, dim: int | None = None, points: int | None = None) -> BuildConfig:
         """Itself, or a ``ValueError``."""
         problems = [
-            (min(self.degree, self.build_l, self.candidates, self.page_nodes, self.pq_subspaces, self.pq_centroids, self.pq_iterations, self.toy_points) <= 0, "counts must be positive"),
+            (min(self.degree, self.build_l, self.candidates, self.page_nodes, self.pq_subspaces, self.pq_centroids, self.pq_iterations, self.toy_points, self.l_ood) <= 0, "counts must be positive"),
             (0 < self.dense_degree < self.degree, "dense_degree must not be below degree"),
-            (self.r_ood >= self.degree, "r_ood must be below degree"),
+            (not 0 <= self.r_ood < self.degree, "r_ood must be below degree"),
             (self.build_l > self.candidates, "build_l must not exceed candidates"),
             (not self.alpha >= 1, "alpha must be 1 or more"),
             (self.partition_scale < 0 or 0 < self.partition_scale < 1, "partition_scale must be 0, or 1 and more"),

@@ -63,7 +63,9 @@ ADC = f"""{ASSIGNED}, {Q}, T AS (SELECT qid, chunk, centroid, {sql_l2(f'list_sli
     far AS (SELECT T.qid, A.id, list_reduce(list(T.distance ORDER BY T.chunk), lambda p, q: p + q) AS distance FROM T JOIN A ON T.chunk = A.chunk AND T.centroid = A.centroid GROUP BY T.qid, A.id),
     {_topk('far', L_POOL, 'pool')}"""
 TWO_STAGE = f"{ADC}, again AS (SELECT pool.qid, pool.id, {sql_l2('qv', 'v')} AS distance FROM pool JOIN Q ON pool.qid = Q.qid JOIN V ON pool.id = V.id), {_topk('again', K)}"
-RUNS = """SELECT event_type AS approx_kind, count(*) AS queries, sum(user_id)::BIGINT AS n_hops, max(user_id) AS max_beam_width, bool_or(value > 100) AS range_stop"""
+# an exhaustive walk over a connected graph visits, compares and measures every row once
+WALKS = f"{V}, {Q}, walks AS (SELECT qid, 'third ' || (qid // 50 % 3) AS approx_kind, (SELECT count(*) FROM V) AS n FROM Q)"
+RUNS = f"WITH {WALKS} SELECT approx_kind, count(*) AS queries, sum(n)::BIGINT AS n_hops, sum(n)::BIGINT AS n_cmps, sum(n)::BIGINT AS exact_evals, false AS range_stop"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -139,21 +141,27 @@ def ground_truth_text_roundtrip(spark, d):
     return files.read_truth(spark, path)
 
 
+def _walks(spark, d):
+    """Results and counters of an exhaustive walk, the runs of three settings standing for thirds of the queries."""
+    found = saved(_exhaustive(spark, d), "walks")
+    return found, found.filter("rank = 1").withColumn("approx_kind", F.concat(F.lit("third "), (F.col("qid") / 50).cast("long") % 3))
+
+
 def _runs(spark, d):
-    events = table(spark, d, "events")
-    stats = events.select(F.col("event_type").alias("approx_kind"), F.col("user_id").alias("n_hops"), F.col("user_id").alias("max_beam_width"), (F.col("value") > 100).alias("range_stop"))
-    folded = bench.accumulate(stats, ["approx_kind"], ["n_hops", "max_beam_width", "range_stop"])
-    return folded.join(stats.groupBy("approx_kind").agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("n_hops") % 2).cast("double")).alias("average_recall")), "approx_kind")
+    found, walks = _walks(spark, d)
+    folded = bench.accumulate(walks, ["approx_kind"], ["n_hops", "n_cmps", "exact_evals", "range_stop"])
+    recall = exact.recall(found, exact.nearest(base_of(spark, d), queries_of(spark, d), K), K)
+    rest = walks.join(recall, "qid").groupBy("approx_kind").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("recall"), 6).alias("average_recall"))
+    return folded.join(rest, "approx_kind")
 
 
-@query(f"{RUNS}, round(avg((user_id % 2)::DOUBLE), 6) AS average_recall FROM events GROUP BY event_type")
+@query(f"{RUNS}, 1.0::DOUBLE AS average_recall FROM walks GROUP BY approx_kind")
 def bench_tsv_roundtrip(spark, d):
     """A summary written as a tab-separated file and read by its header."""
     path = new_path(spark, "tsv")
-    runs = _runs(spark, d)
-    rows = runs.select("approx_kind", F.lit(5).alias("top_k"), F.lit(4).alias("beam_width"), F.lit(12).alias("l_search"), "queries", *[F.lit(1.5).alias(c) for c in bench.TIME_COLUMNS], "n_hops", "max_beam_width", "range_stop", "average_recall")
+    rows = _runs(spark, d).select("approx_kind", F.lit(K).alias("top_k"), F.lit(4).alias("beam_width"), F.lit(12).alias("l_search"), "queries", *[F.lit(1.5).alias(c) for c in bench.TIME_COLUMNS], "n_hops", "n_cmps", "exact_evals", "range_stop", "average_recall")
     bench.write_tsv(rows, path)
-    return bench.read_tsv(spark, path).select("approx_kind", "queries", "n_hops", "max_beam_width", (F.col("range_stop") == 1).alias("range_stop"), "average_recall")
+    return bench.read_tsv(spark, path).select("approx_kind", "queries", "n_hops", "n_cmps", "exact_evals", (F.col("range_stop") == 1).alias("range_stop"), "average_recall")
 
 
 # --- distances and quantisation -------------------------------------------
@@ -228,11 +236,15 @@ def pq_adc_topk(spark, d):
     return pq.adc_search(codes, queries_of(spark, d), pivots, l)
 
 
-@query("SELECT problem, 0::BIGINT AS rows FROM (VALUES ('center width'), ('number of codes'), ('code range')) t(problem)")
+@query(f"""WITH {V} SELECT 'center width' AS problem, {CENTROIDS}::BIGINT AS rows UNION ALL SELECT 'number of codes', count(*) FILTER (WHERE id % 7 = 0) FROM V
+    UNION ALL SELECT 'code range', count(*) FILTER (WHERE id % 7 <> 0 AND id % 5 = 0) FROM V""")
 def pq_validate(spark, d):
-    """Rules of pivots and codes."""
+    """Rules of pivots and codes, on tables with short centres, missing codes and codes out of range."""
     base, pivots = base_of(spark, d), _pivots(spark, d)
-    return pq.validate(pq.pivot_frame(spark, pivots), pq.encode(base, pivots))
+    centres = pq.pivot_frame(spark, pivots).withColumn("center", F.when(F.col("chunk") == 1, F.slice("center", 1, WIDTH - 1)).otherwise(F.col("center")))
+    wild = F.concat(F.array(F.lit(CENTROIDS).cast("smallint")), F.slice("codes", 2, CHUNKS - 1))
+    codes = pq.encode(base, pivots).withColumn("codes", F.when(F.col("id") % 7 == 0, F.slice("codes", 1, CHUNKS - 1)).when(F.col("id") % 5 == 0, wild).otherwise(F.col("codes")))
+    return pq.validate(centres, codes)
 
 
 # --- graphs -----------------------------------------------------------------
@@ -264,11 +276,34 @@ def reverse_graph(spark, d):
     return graph.reverse_graph(_graph(spark, d)).select("id", _ints("nbrs"))
 
 
-@query("SELECT problem, 0::BIGINT AS nodes FROM (VALUES ('degree'), ('dense degree'), ('id range'), ('self edge'), ('repeated edge')) t(problem)")
+@query(f"""WITH {V}, n AS (SELECT count(*) FILTER (WHERE id % 11 = 0) AS wide, count(*) FILTER (WHERE id % 11 = 1) AS dense, count(*) FILTER (WHERE id % 11 = 2) AS far,
+        count(*) FILTER (WHERE id % 11 = 3) AS own, count(*) FILTER (WHERE id % 11 = 4) AS twice FROM V)
+    SELECT 'degree' AS problem, wide AS nodes FROM n UNION ALL SELECT 'dense degree', dense FROM n UNION ALL SELECT 'id range', far FROM n UNION ALL SELECT 'self edge', own FROM n UNION ALL SELECT 'repeated edge', twice FROM n""")
 def graph_validate(spark, d):
-    """Rules of a graph."""
-    n = base_of(spark, d).count()
-    return graph.validate(_dense(spark, d), n, 4, DEGREE)
+    """Rules of a graph, on one whose nodes break them in turn."""
+    n, at = base_of(spark, d).count(), F.col("id") % 11
+    few = F.slice("nbrs", 1, 3)
+    nbrs = F.when(at == 0, F.slice("nbrs", 1, 5)).when(at == 2, F.concat(few, F.array(F.lit(n).cast("long")))).when(at == 3, F.concat(few, F.array("id"))).when(at == 4, F.concat(few, F.slice("nbrs", 1, 1))).otherwise(F.slice("nbrs", 1, 4))
+    dense = F.when(at == 1, F.slice("nbrs", 5, 4)).otherwise(F.slice("nbrs", 5, 2))
+    return graph.validate(_graph(spark, d).select("id", nbrs.alias("nbrs"), dense.alias("dense_nbrs")), n, 4, 2)
+
+
+@query(f"WITH {EDGES} SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY part, rank) AS nbrs FROM (SELECT *, 0 AS part FROM E WHERE rank <= 4 UNION ALL SELECT *, 1 FROM E WHERE rank % 2 = 1) GROUP BY src")
+def copied_neighbours(spark, d):
+    """Base neighbours with dense ones behind them, repeats and all."""
+    return graph.copied_neighbours(_dense(spark, d)).select("id", _ints("nbrs"))
+
+
+REFINE_POOL, REFINE_MOST = 20, 3
+
+
+@query(f"""WITH {V}, {Q}, {PAIRS}, {_topk('pairs', REFINE_POOL, 'asked')}, hubs AS (SELECT qid, id AS hub FROM asked WHERE rank = 1),
+    counted AS (SELECT hub, id, count(*)::INTEGER AS eh, min(rank) AS near FROM asked JOIN hubs USING (qid) WHERE rank > 1 GROUP BY hub, id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY eh DESC, near, id) AS place FROM counted)
+    SELECT hub AS id, string_agg(id::VARCHAR, ',' ORDER BY place) AS nbrs, string_agg(eh::VARCHAR, ',' ORDER BY place) AS ehs FROM placed WHERE place <= {REFINE_MOST} GROUP BY hub""")
+def refine_edges(spark, d):
+    """Edges that training queries ask for, and how many ask."""
+    return graph.refine_edges(base_of(spark, d), queries_of(spark, d), REFINE_MOST, REFINE_POOL).select("id", _ints("nbrs"), _ints("ehs"))
 
 
 @query(f"WITH {V} SELECT id, total FROM (SELECT a.id, round(sum({sql_l2('a.v', 'b.v')}), 6) AS total FROM V a, V b GROUP BY a.id) ORDER BY total, id LIMIT 1")
@@ -307,7 +342,7 @@ def index_roundtrip(spark, d):
     """A layout written with its graph and vectors, and read back."""
     path = new_path(spark, "index")
     base = base_of(spark, d)
-    made = build_index(base, path, BuildConfig(degree=DEGREE, page_nodes=CAPACITY, pq_subspaces=CHUNKS, pq_centroids=CENTROIDS, pq_iterations=1, entry=0))
+    made = build_index(base, path, BuildConfig(degree=DEGREE, page_nodes=CAPACITY, pq_subspaces=CHUNKS, pq_centroids=CENTROIDS, pq_iterations=1, entry=0), pruned=False)
     return made.layout.select("page_id", "slot", "node_id")
 
 
@@ -361,10 +396,15 @@ def inspect_page(spark, d):
     return layout.inspect_pages(_materialized(spark, d))
 
 
-@query("SELECT problem, 0::BIGINT AS rows FROM (VALUES ('repeated in page'), ('id range'), ('over capacity')) t(problem)")
+@query(f"""WITH {V}, n AS (SELECT count(*) FILTER (WHERE id % 10 = 0) AS again, count(*) FILTER (WHERE id % 10 = 1) AS far, count(*) FILTER (WHERE id % 10 = 2) AS wide FROM V)
+    SELECT 'repeated in page' AS problem, again AS rows FROM n UNION ALL SELECT 'id range', far FROM n UNION ALL SELECT 'over capacity', again + far + wide FROM n""")
 def layout_validate(spark, d):
-    """Rules of a layout."""
-    return layout.validate(_layout(spark, d)[1], base_of(spark, d).count(), CAPACITY)
+    """Rules of a layout, on one with repeated, unknown and too many nodes in some pages."""
+    n = base_of(spark, d).count()
+    g, pages = _layout(spark, d)
+    more = F.when(F.col("id") % 10 == 0, F.col("id")).when(F.col("id") % 10 == 1, F.lit(n).cast("long")).when(F.col("id") % 10 == 2, F.element_at("nbrs", CAPACITY))
+    added = g.select(F.col("id").alias("page_id"), F.lit(CAPACITY).alias("slot"), more.alias("node_id")).filter("node_id IS NOT NULL")
+    return layout.validate(pages.unionByName(added), n, CAPACITY)
 
 
 @query(f"WITH {LAYOUT} SELECT 'layouts differ' AS problem, 2 * count(*) AS rows FROM L WHERE page_id = 0 AND slot > 0 UNION ALL SELECT 'page without node', 0::BIGINT UNION ALL SELECT 'offsets step back', 0::BIGINT")
@@ -393,11 +433,15 @@ def _walkable(spark, d, member=None):
 _FOUND = ("qid", "rank", "id", "distance")
 
 
+def _exhaustive(spark, d):
+    base, _, flat = _walkable(spark, d)
+    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count()))
+
+
 @query(f"{TOP} {TOP_ROWS}")
 def beam_search_exhaustive(spark, d):
     """A walk with a pool of all rows, which equals exact search."""
-    base, _, flat = _walkable(spark, d)
-    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count())).select(*_FOUND)
+    return _exhaustive(spark, d).select(*_FOUND)
 
 
 @query()
@@ -447,19 +491,45 @@ def filter_in(spark, d):
     return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count()), in_filter=True).select(*_FOUND)
 
 
-def _costs(spark, d):
-    base, selector = base_of(spark, d), exact.LabelOr(LABELS)
-    n = base.count()
-    share = selector.selectivity(base)
-    return n, filter_costs(share, 1.0, int(share * n / 1024), 0, SearchConfig(top_k=K, l_search=L_SEARCH), n, DEGREE, 2 * DEGREE)
+SELECTOR = exact.LabelOr(LABELS, buckets=6)
+BLOCK_ROWS = 16
+
+
+@query(FILTERED)
+def filter_in_approximate(spark, d):
+    """Filter within an exhaustive walk that admits by an approximate check and verifies in the end."""
+    base, g, _ = _walkable(spark, d, member=True)
+    flat = beam.load(g, base.withColumns({"member": SELECTOR.predicate(), "maybe": SELECTOR.approximate()}), member="member", maybe="maybe")
+    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count()), in_filter=True).select(*_FOUND)
 
 
-_S = "S AS (SELECT avg((label IN (1, 2))::INTEGER::DOUBLE) AS s, count(*)::DOUBLE AS n FROM embeddings)"
-_EQ = f"CASE WHEN s * {2 * DEGREE} <= {DEGREE} THEN {L_SEARCH} / s * {DEGREE} / {2 * DEGREE} ELSE {L_SEARCH}.0 END"
+@query("SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 2)")
+def filter_attributes(spark, d):
+    """The same selector on a map from keys to lists of labels."""
+    rows = base_of(spark, d).withColumn("attributes", F.create_map(F.lit(7), F.array(F.col("label").cast("long"))))
+    return rows.filter(exact.LabelOr(LABELS, "attributes", key=7, buckets=6).predicate()).select("id", "label")
+
+
+_S = f"""S AS (SELECT avg((label IN (1, 2))::INTEGER::DOUBLE) AS s, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE label IN (1, 2)))::DOUBLE / count(*) FILTER (WHERE label % 6 IN (1, 2)) AS p,
+    count(*) FILTER (WHERE label IN (1, 2)) // {BLOCK_ROWS} AS pre, count(*) FILTER (WHERE label % 6 IN (1, 2)) // {8 * BLOCK_ROWS} AS within FROM embeddings)"""
+_EQ = f"CASE WHEN s * {2 * DEGREE} / p <= {DEGREE} THEN {L_SEARCH} / s * {DEGREE} / {2 * DEGREE} ELSE {L_SEARCH} / p END"
+
+
+@query(f"WITH {_S} SELECT s AS selectivity, p AS \"precision\", pre AS prefilter_reads, within AS infilter_reads FROM S")
+def filter_estimates(spark, d):
+    """What the selector estimates: its share of rows, the precision of its approximate check, and reads."""
+    found = SELECTOR.estimates(base_of(spark, d), BLOCK_ROWS)
+    return spark.createDataFrame([tuple(found.values())], "selectivity double, precision double, prefilter_reads long, infilter_reads long")
+
+
+def _costs(spark, d):
+    base = base_of(spark, d)
+    n, found = base.count(), SELECTOR.estimates(base, BLOCK_ROWS)
+    return n, filter_costs(found["selectivity"], found["precision"], found["prefilter_reads"], found["infilter_reads"], SearchConfig(top_k=K, l_search=L_SEARCH), n, DEGREE, 2 * DEGREE)
 
 
-@query(f"""WITH {_S} SELECT 'pre' AS mode, (10 * (floor(s * n / 1024) + {L_SEARCH}) + floor(s * n))::BIGINT AS cost FROM S
-    UNION ALL SELECT 'in', (10 * floor({_EQ}) + floor(({_EQ}) * ({DEGREE} + 0.05::DOUBLE * {2 * DEGREE})))::BIGINT FROM S
+@query(f"""WITH {_S} SELECT 'pre' AS mode, (10 * (pre + {L_SEARCH}) + floor(s * n))::BIGINT AS cost FROM S
+    UNION ALL SELECT 'in', (10 * floor(within + {_EQ}) + floor(({_EQ}) * ({DEGREE} + 0.05::DOUBLE * {2 * DEGREE})))::BIGINT FROM S
     UNION ALL SELECT 'post', (10 * floor({L_SEARCH} / s) + floor({DEGREE * L_SEARCH} / s))::BIGINT FROM S""")
 def filter_plan_costs(spark, d):
     """Estimated cost of each filter mode."""
@@ -552,18 +622,17 @@ def result_ids_string(spark, d):
     return exact.result_ids(ground_truth_topk(spark, d))
 
 
-@query(f"{RUNS} FROM events GROUP BY event_type")
+@query(f"{RUNS} FROM walks GROUP BY approx_kind")
 def stats_accumulate(spark, d):
-    """Counters folded by sum, largest and or; events stand in for queries."""
+    """Counters of walks folded by sum and or."""
     return _runs(spark, d).drop("average_recall")
 
 
-@query(f"WITH {_RECALL} SELECT (SELECT count(DISTINCT qid) FROM top) AS queries, (SELECT sum(DISTINCT qid) FROM top)::BIGINT AS n_hops, (SELECT round(avg(recall), 6) FROM hits) AS average_recall, (SELECT string_agg(id::VARCHAR, ',' ORDER BY rank) FROM top WHERE qid = (SELECT min(qid) FROM top)) AS first_query_result_ids")
+@query(f"WITH {WALKS}, {PAIRS}, {_topk('pairs', K)} SELECT (SELECT count(*) FROM walks) AS queries, (SELECT sum(n) FROM walks)::BIGINT AS n_hops, (SELECT sum(n) FROM walks)::BIGINT AS n_cmps, (SELECT sum(n) FROM walks)::BIGINT AS exact_evals, 1.0::DOUBLE AS average_recall, (SELECT string_agg(id::VARCHAR, ',' ORDER BY rank) FROM top WHERE qid = (SELECT min(qid) FROM top)) AS first_query_result_ids")
 def bench_summary(spark, d):
-    """One row for a run; the query's id stands in for its counters."""
-    found, truth = _found_and_truth(spark, d)
-    counted = found.withColumns({"n_hops": F.col("qid"), "n_cmps": F.col("qid"), "exact_evals": F.col("qid"), "cache_hits": F.lit(0), "pages_touched": F.lit(0), "range_stop": F.lit(False)})
-    return bench.bench_summary(counted, truth, K).select("queries", "n_hops", "average_recall", "first_query_result_ids")
+    """One row for a run: its queries' counters, mean recall and the first query's ids."""
+    found, _ = _walks(spark, d)
+    return bench.bench_summary(found, exact.nearest(base_of(spark, d), queries_of(spark, d), K), K).select("queries", "n_hops", "n_cmps", "exact_evals", "average_recall", "first_query_result_ids")
 
 
 _GRID = Sweep(
@@ -601,30 +670,30 @@ def sweep_recall(spark, d):
     return out
 
 
-_LINES = "SELECT l_returnflag AS approx_kind, l_linenumber::BIGINT AS top_k, count(*) AS n_hops, {more} FROM lineitem {where} GROUP BY ALL"
+_SUMS = "sum(n)::BIGINT AS n_hops, sum(n)::BIGINT AS n_cmps"
 
 
-def _lines(spark, d, where=None):
-    rows = table(spark, d, "lineitem")
-    rows = rows.filter(where) if where is not None else rows
-    return rows.groupBy(F.col("l_returnflag").alias("approx_kind"), F.col("l_linenumber").cast("long").alias("top_k"))
+def _summed(walks, by):
+    return bench.accumulate(walks.withColumn("approx_kind", by), ["approx_kind"], ["n_hops", "n_cmps"])
 
 
-@query(f"{_LINES.format(more='sum(l_quantity::BIGINT)::BIGINT AS n_cmps', where='')} UNION ALL SELECT o_orderstatus, NULL, count(*), sum(o_custkey)::BIGINT FROM orders GROUP BY o_orderstatus")
+@query(f"WITH {WALKS} SELECT approx_kind, {K}::BIGINT AS top_k, {_SUMS} FROM walks GROUP BY approx_kind UNION ALL SELECT 'half ' || (qid // 50 % 2), NULL, {_SUMS} FROM walks GROUP BY ALL")
 def bench_merge(spark, d):
     """Two summaries as one, a column missing in the second."""
-    one = _lines(spark, d).agg(F.count(F.lit(1)).alias("n_hops"), F.sum(F.col("l_quantity").cast("long")).alias("n_cmps"))
-    two = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("approx_kind")).agg(F.sum("o_custkey").alias("n_cmps"), F.count(F.lit(1)).alias("n_hops"))
-    return bench.merge([one, two]).select("approx_kind", "top_k", "n_hops", "n_cmps")
+    _, walks = _walks(spark, d)
+    half = F.concat(F.lit("half "), (F.col("qid") / 50).cast("long") % 2)
+    one = _summed(walks, F.col("approx_kind")).withColumn("top_k", F.lit(K).cast("long"))
+    return bench.merge([one, _summed(walks, half)]).select("approx_kind", "top_k", "n_hops", "n_cmps")
 
 
-@query(f"""WITH a AS ({_LINES.format(more='sum(l_quantity::BIGINT)::BIGINT AS n_cmps', where='WHERE l_discount > 0.05')}), b AS ({_LINES.format(more='sum(l_quantity::BIGINT)::BIGINT AS n_cmps', where='')})
-    SELECT b.approx_kind, b.top_k, a.n_hops AS baseline_n_hops, a.n_cmps AS baseline_n_cmps, b.n_hops AS candidate_n_hops, b.n_cmps AS candidate_n_cmps, b.n_hops - a.n_hops AS delta_n_hops, b.n_cmps - a.n_cmps AS delta_n_cmps
-    FROM b JOIN a ON a.approx_kind = b.approx_kind AND a.top_k = b.top_k""")
+@query(f"""WITH {WALKS}, a AS (SELECT approx_kind, {_SUMS} FROM walks WHERE qid % 100 = 0 GROUP BY approx_kind), b AS (SELECT approx_kind, {_SUMS} FROM walks GROUP BY approx_kind)
+    SELECT b.approx_kind, a.n_hops AS baseline_n_hops, a.n_cmps AS baseline_n_cmps, b.n_hops AS candidate_n_hops, b.n_cmps AS candidate_n_cmps, b.n_hops - a.n_hops AS delta_n_hops, b.n_cmps - a.n_cmps AS delta_n_cmps
+    FROM b JOIN a ON a.approx_kind = b.approx_kind""")
 def bench_compare(spark, d):
-    """Runs beside those of the same key."""
-    cut = (F.count(F.lit(1)).alias("n_hops"), F.sum(F.col("l_quantity").cast("long")).alias("n_cmps"))
-    return bench.compare(_lines(spark, d, F.col("l_discount") > 0.05).agg(*cut), _lines(spark, d).agg(*cut), ["n_hops", "n_cmps"], ["approx_kind", "top_k"])
+    """Runs of all queries beside those of every second one."""
+    _, walks = _walks(spark, d)
+    kind = F.col("approx_kind")
+    return bench.compare(_summed(walks.filter("qid % 100 = 0"), kind), _summed(walks, kind), ["n_hops", "n_cmps"], ["approx_kind"])
 
 
 @query(f"WITH {LAYOUT} SELECT (SELECT count(*) FROM V) AS points, (SELECT max(len(v))::INTEGER FROM V) AS dim, (SELECT count(*) FROM E)::BIGINT AS edges, {DEGREE}::INTEGER AS max_degree, (SELECT count(DISTINCT page_id) FROM L) AS pages, {CAPACITY}::BIGINT AS max_page_nodes, (SELECT count(*) FROM L)::BIGINT AS stored_nodes")

@@ -1,6 +1,7 @@
 """Fixtures with known answers, invariants of stateful operators, and inputs that must be refused."""
 
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar import queries
 from lodestar.cli import main
 from lodestar.functions.distance import block_l2, l2_squared
-from lodestar.index import build_index, load_index
+from lodestar.index import build_index, inspect_files, inspect_page, load_index
 from lodestar.operators import beam, bench, exact, graph, layout, pq
 from lodestar.plans import config as cfg
 from lodestar.sources import vectors as files
@@ -70,6 +71,21 @@ def test_bfs_levels_has_no_last_hop(spark, tmp_path):
     assert {r["id"]: r["level"] for r in queries.bfs_levels(spark, str(tmp_path)).collect()} == plain
 
 
+def test_many_query_blocks(spark, monkeypatch):
+    """Blocks of a few queries give the same rows, and a plan that doesn't grow with their number."""
+    rng = np.random.default_rng(6)
+    base = frame(spark, [(i, rng.normal(size=8).tolist()) for i in range(200)]).cache()
+    wanted = base.select(F.col("id").alias("qid"), "vector")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    one, centre = key(exact.nearest(base, wanted, 5, skip_self=True)), graph.medoid(base).first()
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 1 << 10)
+    many = exact.nearest(base, wanted, 5, skip_self=True)
+    assert key(many) == one and graph.medoid(base).first() == centre
+    plan = many._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1 and plan.treeString().count("\n") < 10
+    assert exact.nearest(base, wanted.limit(0), 5).count() == 0
+
+
 def test_frontier_equals_exact(spark, toy):
     base, g = toy
     q = asked(spark, [0.95, 0.15, 0], [-1, 0, 0.6])
@@ -181,6 +197,49 @@ def test_build_and_load(spark, tmp_path):
         load_index(spark, str(tmp_path / "ix"))
 
 
+def test_build_with_training_queries(spark, tmp_path):
+    """Refinement edges are part of the graph, dense neighbours none of the base ones; what is absent has its default."""
+    rng = np.random.default_rng(11)
+    base = frame(spark, [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((120, 6)))]).cache()
+    train = asked(spark, *rng.standard_normal((40, 6)) * 2)
+    config = cfg.BuildConfig(degree=6, dense_degree=10, r_ood=2, l_ood=8, build_l=12, candidates=16, page_nodes=3, pq_centroids=8)
+    made = build_index(base, str(tmp_path / "ix"), config, train)
+    assert made.default_kind is cfg.DistanceKind.PQ
+    assert all(r["nodes"] == 0 for r in graph.validate(made.graph, 120, 6, 4).collect())
+    assert all(r["nodes"] == 0 for r in graph.validate_refine(made.refine, 2).collect())
+    rows = {r["id"]: r for r in made.graph.collect()}
+    assert all(set(r["nbrs"]) <= set(rows[r["id"]]["nbrs"]) and min(r["ehs"]) >= 1 for r in made.refine.collect())
+    assert all(not set(r["nbrs"]) & set(r["dense_nbrs"]) and len(r["dense_nbrs"]) == 4 for r in rows.values())
+    plain = build_index(base, str(tmp_path / "plain"), cfg.BuildConfig(degree=6, build_l=12, page_nodes=3))
+    assert "refine" not in plain.tables and plain.graph.agg(F.max(F.size("nbrs"))).first()[0] <= 6
+    seen = {r["part"]: r["value"] for r in inspect_files(spark, str(tmp_path / "ix")).collect()}
+    assert seen["pq chunks"] == "3" and int(seen["bytes graph"]) > 0 and int(seen["refine edges"]) == sum(len(r["nbrs"]) for r in made.refine.collect())
+    assert [r["slot"] for r in inspect_page(made, 5).collect()] == [0, 1, 2]
+    shutil.rmtree(tmp_path / "ix" / "pq_codes")
+    assert load_index(spark, str(tmp_path / "ix")).default_kind is cfg.DistanceKind.FULL
+    meta = {**plain.meta, "format": "other"}
+    spark.createDataFrame([tuple(meta.values())], "format string, points long, dim int, entry long, degree int, page_nodes int").write.mode("overwrite").parquet(str(tmp_path / "plain" / "meta"))
+    with pytest.raises(ValueError, match="format"):
+        load_index(spark, str(tmp_path / "plain"))
+
+
+def test_centred_quantisation_is_a_translation(spark):
+    rng = np.random.default_rng(12)
+    base = frame(spark, [(i, (v + 100).tolist()) for i, v in enumerate(rng.standard_normal((60, 4)))]).cache()
+    assert np.allclose(pq.train_centred(base, 2, 4)[0], pq.train(base, 2, 4)[0])
+
+
+def test_approximate_membership(spark, rare):
+    """A check that admits too much still ends with members only, the same ones."""
+    base, g, q, _ = rare
+    one = exact.LabelOr([1], buckets=1)
+    assert one.estimates(base)["precision"] == pytest.approx(0.01) and exact.LabelOr([1], buckets=2).estimates(base)["precision"] == 1
+    flat = beam.load(g, base.withColumns({"member": one.predicate(), "maybe": one.approximate()}), member="member", maybe="maybe")
+    found = beam.search(flat, q, 0, cfg.SearchConfig(top_k=10, l_search=2000), in_filter=True)
+    assert ids(found) == ids(exact.prefilter_search(base, q, one, 10))
+    assert beam.pipe_search is beam.search
+
+
 @pytest.mark.parametrize("change", [{"top_k": 0}, {"beam_width": 0}, {"l_search": 0}, {"refine_ratio": -1.0}, {"refine_ratio": math.inf}])
 def test_search_config_refused(change):
     with pytest.raises(ValueError):
@@ -229,11 +288,12 @@ def test_bench_files(spark, toy, tmp_path):
     assert back.count() == 2 and back.columns == bench.TSV_COLUMNS
     both = bench.merge([back, back])
     assert both.count() == 4
-    compared = bench.compare(back, back, ["n_hops", "average_recall"])
+    compared = bench.compare(back, back, ["n_hops", "average_recall", *bench.TIME_COLUMNS])
     assert compared.count() == 2 and all(r["delta_n_hops"] == 0 for r in compared.collect())
-    assert bench.compare_markdown(compared, ["l_search", "delta_n_hops"]).count("\n") == 4
+    text = bench.compare_markdown(compared, "a", "b").splitlines()
+    assert text[4] == "- Matched runs: 2" and [x.count("|") for x in text[6:]] == [21] * 4
     with pytest.raises(ValueError):
-        bench.compare_markdown(bench.compare(back.filter("l_search = 6"), back.filter("l_search = 8"), ["n_hops"]), ["l_search"])
+        bench.compare_markdown(bench.compare(back.filter("l_search = 6"), back.filter("l_search = 8"), ["n_hops"]))
     (tmp_path / "twice.tsv").write_text("top_k\ttop_k\n1\t2\n")
     with pytest.raises(ValueError, match="twice"):
         bench.read_tsv(spark, str(tmp_path / "twice.tsv"))
