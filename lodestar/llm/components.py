@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.runtime import saved, ship
+from lodestar.runtime import discard, freed_shuffles, saved, ship
+
+#: As many edges as one task finishes alone; more go through rounds of stars.
+TASK_EDGES = 1 << 18
 
 
 class Forest:
@@ -49,22 +52,30 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(contract, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``vertex, component`` for every vertex of ``edges(a long, b long)``; the component is its smallest vertex.
+def roots(edges: DataFrame) -> DataFrame:
+    """``vertex, component`` of the vertices of ``edges(a long, b long)`` but each component's smallest, which names it.
 
-    Rounds of large and small stars: first the larger neighbours of each
-    vertex, then its smaller ones, are hung on the smallest vertex around it,
-    until nothing changes.  Each partition contracts its own edges before the
-    first round.  Every round is a saved table; minima are taken on the map
-    side first.
+    Each partition contracts its own edges first.  What is left is finished in
+    one task if that is at most ``TASK_EDGES`` edges, and by rounds of large
+    and small stars otherwise: first the larger neighbours of each vertex, then
+    its smaller ones, are hung on the smallest vertex around it, until few
+    edges are left or nothing changes.  Every round is a saved table; minima
+    are taken on the map side first.
     """
-    ship(edges.sparkSession)
+    spark = edges.sparkSession
+    ship(spark)
     stars = saved(_contracted(edges.filter("a <> b").select("a", "b")).distinct(), "stars")
     before = None
     while True:
-        size, total = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        with freed_shuffles(spark):
+            size, total = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (size, total) == before or not size:
             break
+        older = stars
+        if size <= TASK_EDGES:
+            stars = saved(_contracted(stars.coalesce(1)), "stars")
+            discard(older)
+            break
         before = (size, total)
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -73,4 +84,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         stars = saved(small.filter("a <> b").distinct(), "stars")
-    return stars.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
+        discard(older)
+    return stars.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``vertex, component`` for every vertex that has an edge to another; the component is its smallest vertex."""
+    found = roots(edges)
+    return found.unionByName(found.select(F.col("component").alias("vertex"), "component").distinct())

@@ -9,41 +9,53 @@ Documents with equal shingle sets form a *class*; only classes are joined.
    ``n - least overlap + 1`` of each (any common order has this property; this
    one keeps passages that many documents share out of these heads).  A second
    scan emits the heads; the classes that share a head shingle are a *tile*.
-3. Tiles are cut into bands of sizes that can reach the threshold.  Small
-   tiles give candidate pairs under the positional bound.  Large tiles are
-   dealt out block against block and keep the classes that have a partner.
-4. A third scan gives only candidate classes a bitmap signature and their
-   sorted shingle hashes.  ``|A ^ B| >= popcount(a ^ b)`` bounds the overlap
-   from above; what is left is intersected exactly.
-5. Connected components of the links, on each class's smallest id.
-
-No step pairs all documents of a group, caps a group, or drops a candidate.
+3. Small tiles give candidate pairs under the positional bound.  A large tile
+   gives the pairs of each of its classes with its hub, the class that is in
+   most large tiles.
+4. A third scan gives the classes of tiles a bitmap signature: ``|A ^ B| >=
+   popcount(a ^ b)`` bounds the overlap from above and screens the pairs.
+   A fourth fetches the sorted shingle hashes of classes that are left,
+   and pairs are intersected exactly: first one for each class, then those
+   whose classes these links don't connect.
+5. Large tiles that hold more than one component by then are cut into blocks,
+   each within two neighbouring bands of sizes; signatures screen the pairs of
+   different components there, and what passes is intersected as before.
+6. Connected components of the links, on each class's smallest id.
+
+Pairs that links already connect are left out; no other pair is, and no group
+is capped.  What is intersected follows the classes, not the pairs of a group.
 Equality of shingles is equality of 64-bit hashes; of classes, of 128 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.components import Forest, components
-from lodestar.llm.slots import flags_over, partial_rows, sparse_rows
+from lodestar.llm.components import roots
+from lodestar.llm.slots import flags_over, id_filter, in_filter, partial_rows
 from lodestar.llm.textkit import _STEP, _U, _mix, chunks, shingle_hashes, sorted_sets, string_buffers
-from lodestar.runtime import saved, ship, task_count, tidy, trim_memory
+from lodestar.runtime import discard, saved, ship, size_of, task_count, tidy
 
 WIDTH, PERCENT = 5, 80
-SLOTS = 1 << 20
-BLOOM = 1 << 25
-LEAST_CROWD = 64
-SMALL_TILE = 128
+#: Counters of shingles: one for each ``BYTES_PER_SLOT`` of the table, within these bounds.
+LEAST_SLOTS, MOST_SLOTS, BYTES_PER_SLOT = 1 << 20, 1 << 23, 128
+LEAST_CROWD = 40
+#: Classes of a tile that gives all its pairs.
+SMALL_TILE = 64
 #: Shingles of all sets in a tile that is not cut; blocks of cut tiles have half as many.
 BLOCK = 1 << 21
-FLUSH = 1_000_000
-HEAD_BYTES_PER_PART = 24 << 20
+#: Bits of a signature for each member, rounded up to a power of two.
+BITS = 4
+FLUSH = 500_000
+HEAD_BYTES_PER_PART = 12 << 20
+#: Bits of the largest filter of ids that goes to all tasks, at eight for an id; more ids are joined instead.
+FILTER_BITS = 1 << 26
 
 _KEY = np.dtype([("x", "<u8"), ("y", "<u8")])
 
@@ -104,17 +116,17 @@ class _Fresh:
         return out
 
 
-def _sketched(rows: DataFrame, width: int) -> DataFrame:
+def _sketched(rows: DataFrame, width: int, slots: int) -> DataFrame:
     """``doc_id, n, cls`` of every row, and ``range, packed`` rows of each task's slot counts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh, counts = _Fresh(), np.zeros(SLOTS, np.int64)
+        fresh, counts = _Fresh(), np.zeros(slots, np.uint32)
         names = ["doc_id", "n", "cls", "range", "packed"]
         for batch in batches:
             for a, b, values, at in _sets(batch.column(1), width):
                 keys = class_keys(values, at)
                 new = np.repeat(fresh.rows(keys, at), np.diff(at))
-                counts += np.bincount((values[new] & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                np.add.at(counts, (values[new] & _U(slots - 1)).astype(np.int64), np.uint32(1))
                 none = pa.nulls(b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), _keys_column(keys), none.cast(pa.int32()), none.cast(pa.binary())], names)
         where, packed = partial_rows(counts)
@@ -143,7 +155,7 @@ def heads(values: np.ndarray, at: np.ndarray, crowded: np.ndarray, percent: int)
     """(tokens, their rows, their places) of each sorted set's head under the global order."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
-    late = crowded[(values & _U(SLOTS - 1)).astype(np.int64)]
+    late = crowded[(values & _U(len(crowded) - 1)).astype(np.int64)]
     early = np.concatenate([[0], np.cumsum(~late)])
     before = early[:-1] - early[at[:-1]][row]
     n_early = (early[at[1:]] - early[at[:-1]])[row]
@@ -259,8 +271,8 @@ def _candidates(blocks: DataFrame, parts: int, percent: int) -> DataFrame:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of the signature of a set of n: two to four for each member, a power of two."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits of the signature of a set of n: ``BITS`` to twice as many for each member, a power of two."""
+    return max(64, 1 << (BITS * n - 1).bit_length())
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -295,37 +307,38 @@ def shared_members(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def _bloom_slots(low: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    h = _mix(low ^ _mix(ids.view(_U) + _STEP[1]))
-    return [(_mix(h + _STEP[i]) & _U(BLOOM - 1)).astype(np.int64) for i in (2, 6, 10)]
+def _fetched(rows: DataFrame, wanted: DataFrame, width: int, name: str, value: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``cls, n`` and the binary ``name`` of the wanted classes (and a few others), from one document of each.
 
-
-def _features(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``cls, n, bits, members`` of the wanted classes (and a few others), from one document of each."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                at = np.unique(np.concatenate(_bloom_slots(_keys_of(batch.column(0))["x"], batch.column(1).to_numpy())))
-                yield pa.RecordBatch.from_arrays(list(sparse_rows(at, np.ones(len(at), np.int64))), ["range", "packed"])
-
-    bits = flags_over(wanted.select("cls", "rep").mapInArrow(mark, "range int, packed binary"), BLOOM, 1)
-    flags = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    ``wanted(cls, rep)`` is a saved table.
+    """
+    count = wanted.count()
+    bits = max(1 << 16, 1 << (8 * count).bit_length())
+    flags = None
+    if bits <= FILTER_BITS:
+        flags = rows.sparkSession.sparkContext.broadcast(id_filter(wanted.select("rep"), bits))
+    else:
+        rows = rows.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = flags.value
+        fresh = _Fresh()
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b, values, at in _sets(batch.column(1), width):
+            if flags is not None and batch.num_rows:
+                batch = batch.filter(pa.array(in_filter(flags.value, batch.column(0).to_numpy())))
+            for _, _, values, at in _sets(batch.column(1), width):
                 keys = class_keys(values, at)
-                hit = at[1:] > at[:-1]
-                for slot in _bloom_slots(keys["x"], ids[a:b]):
-                    hit &= packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
-                own = np.flatnonzero(hit)
-                sets = [values[at[i] : at[i + 1]] for i in own.tolist()]
-                yield pa.RecordBatch.from_arrays([_keys_column(keys[own]), pa.array(np.diff(at)[own]), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "n", "bits", "members"])
+                own = np.flatnonzero(fresh.rows(keys, at))
+                found = [value(values[at[i] : at[i + 1]]).tobytes() for i in own.tolist()]
+                yield pa.RecordBatch.from_arrays([_keys_column(keys[own]), pa.array(np.diff(at)[own]), pa.array(found, pa.binary())], ["cls", "n", name])
 
-    return saved(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(tidy(fetch), "cls binary, n long, bits binary, members binary"), "features")
+    out = saved(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(tidy(fetch), f"cls binary, n long, {name} binary"), name)
+    if flags is not None:
+        flags.destroy()
+    return out
+
+
+_PAIR = ("a", "b", "rep_a", "rep_b")
+_PAIR_SCHEMA = "a binary, b binary, rep_a long, rep_b long"
 
 
 def _within_bound(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -333,45 +346,87 @@ def _within_bound(pairs: DataFrame, features: DataFrame, percent: int) -> DataFr
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             need = least_overlap(n, m, percent)
-            words = [[np.frombuffer(x, _U) for x in batch.column(i).to_pylist()] for i in (3, 5)]
+            words = [[np.frombuffer(x, _U) for x in batch.column(i).to_pylist()] for i in ("bits_a", "bits_b")]
             kept = [overlap_bound(x, y, i, j) >= k for x, y, i, j, k in zip(*words, n.tolist(), m.tolist(), need.tolist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(_PAIR).filter(pa.array(kept, pa.bool_()))
 
     one = features.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = features.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(tidy(check), "a binary, b binary")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select(*_PAIR, "n_a", "bits_a", "n_b", "bits_b").mapInArrow(tidy(check), _PAIR_SCHEMA)
 
 
-def _linked(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+def _intersected(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs that reach the threshold, by exact intersection."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 kept.append(shared_members(a, b) >= int(least_overlap(len(a), len(b), percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(_PAIR).filter(pa.array(kept, pa.bool_()))
+
+    one = members.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
+    two = members.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select(*_PAIR, "set_a", "set_b").mapInArrow(tidy(check), _PAIR_SCHEMA)
+
 
-    one = features.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
-    two = features.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(check), "a binary, b binary")
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def _blocks_of_tiles(large: DataFrame, percent: int) -> DataFrame:
-    """``tile, side, cls`` of large tiles cut block against block.
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    of = lambda side: labels.select(F.col("vertex").alias(f"rep_{side}"), F.col("component").alias(f"label_{side}"))
+    both = pairs.join(of("a"), "rep_a", "left").join(of("b"), "rep_b", "left")
+    return both.filter(F.coalesce("label_a", "rep_a") != F.coalesce("label_b", "rep_b")).select(*_PAIR)
+
+
+def _links(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links among ``pairs`` that connect all that the links among them connect.
+
+    First each class's pair with the class of most pairs, then the pairs whose
+    classes the links found so far leave apart.
+    """
+    turned = pairs.select("a", "b", "rep_a", "rep_b", F.col("rep_a").alias("own"), F.col("rep_b").alias("other"))
+    ends = turned.unionByName(turned.select("a", "b", "rep_a", "rep_b", F.col("other").alias("own"), F.col("own").alias("other")))
+    degree = ends.groupBy(F.col("own").alias("other")).agg(F.count(F.lit(1)).alias("degree"))
+    best = ends.join(degree, "other").groupBy("own").agg(F.max(F.struct("degree", "other", *_PAIR)).alias("best"))
+    chosen = saved(best.select(*(f"best.{c}" for c in _PAIR)).distinct(), "chosen-pairs")
+    first = saved(_intersected(chosen, members, percent), "links")
+    labels = roots(_edges(first))
+    rest = saved(_labelled(pairs, labels).join(chosen.select("a", "b"), ["a", "b"], "left_anti"), "other-pairs")
+    second = saved(_intersected(rest, members, percent), "links")
+    discard(chosen, rest)
+    return first.unionByName(second)
+
+
+def _hub_pairs(large: DataFrame, percent: int) -> DataFrame:
+    """Every class of a large tile with the tile's hub, where their sizes can reach the threshold."""
+    ranked = large.join(large.groupBy("cls").agg(F.count(F.lit(1)).alias("tiles")), "cls")
+    hub = ranked.groupBy("token").agg(F.max(F.struct("tiles", "rep", "cls", "n")).alias("hub"))
+    met = ranked.join(hub, "token").filter(F.col("cls") != F.col("hub.cls"))
+    met = met.filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    first = F.col("cls") < F.col("hub.cls")
+    one = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return met.select(one("cls", "hub.cls").alias("a"), one("hub.cls", "cls").alias("b"), one("rep", "hub.rep").alias("rep_a"), one("hub.rep", "rep").alias("rep_b")).distinct()
+
+
+def _blocks_of_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """``tile, side, cls, rep, n, label`` of large tiles cut block against block, from ``token, cls, rep, n, label``.
 
     A tile whose sets have up to ``BLOCK`` members together is one (side 2).  Of a larger one, each
     band of sizes is cut into blocks by hash; a block meets itself, the other
     blocks of its band and those of the next band (sides 0 and 1).
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    rows = large.select("token", F.col("a").alias("cls"), "n", band.alias("band"))
+    kept = ("cls", "rep", "n", "label")
+    rows = rows.select("token", *kept, band.alias("band"))
     whole = rows.groupBy("token").agg(F.sum("n").alias("held"))
     sized = rows.join(whole, "token")
-    small = sized.filter(F.col("held") <= BLOCK).select(F.col("token").cast("string").alias("tile"), F.lit(2).alias("side"), "token", "cls", "n")
+    small = sized.filter(F.col("held") <= BLOCK).select(F.col("token").cast("string").alias("tile"), F.lit(2).alias("side"), *kept)
     wide = sized.filter(F.col("held") > BLOCK)
     cut = wide.groupBy("token", "band").agg(F.ceil(F.sum("n") / (BLOCK // 2)).cast("int").alias("cuts"))
     near = lambda d, name: cut.select("token", (F.col("band") - d).alias("band"), F.col("cuts").alias(name))
@@ -383,87 +438,78 @@ def _blocks_of_tiles(large: DataFrame, percent: int) -> DataFrame:
     here = F.transform(upto(F.col("cuts")), lambda j: F.struct(name(F.col("band"), F.least(j, F.col("own")), F.col("band"), F.greatest(j, F.col("own"))).alias("tile"), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side")))
     up = some(F.col("above"), F.transform(upto(F.col("above")), lambda j: F.struct(name(F.col("band"), F.col("own"), F.col("band") + 1, j).alias("tile"), F.lit(0).alias("side"))))
     down = some(F.col("below"), F.transform(upto(F.col("below")), lambda j: F.struct(name(F.col("band") - 1, j, F.col("band"), F.col("own")).alias("tile"), F.lit(1).alias("side"))))
-    spread = dealt.withColumn("own", own).withColumn("x", F.explode(F.concat(here, up, down))).select("x.tile", "x.side", "token", "cls", "n")
+    spread = dealt.withColumn("own", own).withColumn("x", F.explode(F.concat(here, up, down))).select("x.tile", "x.side", *kept)
     return small.unionByName(spread)
 
 
-def _sides(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the first block and of the second; of a block against itself, all twice."""
+def _mixed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of groups that hold more than one component."""
+    mixed = rows.groupBy(name).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select(name)
+    return rows.join(mixed, name, "left_semi")
+
+
+def bounded_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of first x second whose labels differ and whose sizes and signatures allow a link."""
+    first, second = first[np.argsort(n[first], kind="stable")], second[np.argsort(n[second], kind="stable")]
+    words, i = np.array([len(x) for x in bits]), 0
+    while i < len(first):
+        j = i + int(np.searchsorted(n[first[i:]], 5 * n[first[i]] // 4, "right"))
+        own = first[i : min(j, i + 256)]
+        i += len(own)
+        low, high = least_partner(n[own[0]], percent), 100 * n[own[-1]] // percent
+        near = second[np.searchsorted(n[second], low) : np.searchsorted(n[second], high, "right")]
+        for k in range(0, len(near), 8192):
+            other = near[k : k + 8192]
+            size = min(words[own].min(), words[other].min())
+            left, right = (np.stack([folded(bits[x], size) for x in rows.tolist()]) for rows in (own, other))
+            differ = np.zeros((len(own), len(other)), np.int64)
+            for w in range(size):
+                differ += np.bitwise_count(left[:, w][:, None] ^ right[:, w][None])
+            both = n[own][:, None] + n[other][None]
+            fit = ((both - differ) // 2 >= least_overlap(n[own][:, None], n[other][None], percent)) & (label[own][:, None] != label[other][None])
+            x, y = np.nonzero(fit)
+            yield own[x], other[y]
+
+
+def _sides(sides: np.ndarray, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows against rows that hold all pairs of different components: those outside of the largest against all."""
+    names, codes = np.unique(label, return_inverse=True)
+    outside = codes != np.bincount(codes).argmax()
     if (sides == 2).all():
-        return np.arange(len(sides)), np.arange(len(sides))
-    return np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-
-
-def _bounded_matrix(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Which of left x right the signatures (equal numbers of words) and sizes allow."""
-    differ = np.zeros((len(left), len(right)), np.int64)
-    for w in range(left.shape[1]):
-        differ += np.bitwise_count(left[:, w][:, None] ^ right[:, w][None])
-    both = n[:, None] + m[None]
-    return (both - differ) // 2 >= -(-percent * both // (100 + percent))
+        return [(np.flatnonzero(outside), np.arange(len(sides)))]
+    first, second = sides == 0, sides == 1
+    return [(np.flatnonzero(first & outside), np.flatnonzero(second)), (np.flatnonzero(first & ~outside), np.flatnonzero(second & outside))]
 
 
-def _tile_matrix(bits: list[bytes], n: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, columns) of the possible links of one block of a tile's rows after the other."""
-    words = [np.frombuffer(x, _U) for x in bits]
-    size = min(map(len, words))
-    table = np.stack([folded(x, size) for x in words])
-    step = max(1, (1 << 21) // max(1, len(second)))
-    for i in range(0, len(first), step):
-        own = first[i : i + step]
-        x, y = np.nonzero(_bounded_matrix(table[own], table[second], n[own], n[second], percent))
-        yield own[x], second[y]
+def _pairs_across(large: DataFrame, labels: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of one large tile, but of different components, that their signatures allow to link."""
+    own = labels.select(F.col("vertex").alias("rep"), F.col("component").alias("label"))
+    rows = large.join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    tiles = saved(_mixed(_blocks_of_tiles(_mixed(rows, "token"), percent), "tile"), "tiles")
 
+    def screen(key: tuple, held: pa.Table) -> pa.Table:
+        keys, rep, n, label = (held[c].to_numpy() for c in ("cls", "rep", "n", "label"))
+        bits = [np.frombuffer(x, _U) for x in held["bits"].to_pylist()]
+        found = {}
+        for first, second in _sides(held["side"].to_numpy(), label):
+            for x, y in bounded_pairs(bits, n, label, first, second, percent):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    i, j = (i, j) if keys[i] < keys[j] else (j, i)
+                    found[keys[i], keys[j]] = (keys[i], keys[j], rep[i], rep[j])
+        columns = list(zip(*found.values(), strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], _PAIR)
+
+    # small on disk, where repeated keys cost little, this table is large in memory: no broadcasts
+    marked = tiles.join(features.select("cls", "bits").hint("merge"), "cls").select("tile", "side", "cls", "rep", "n", "label", "bits")
+    out = saved(marked.groupBy("tile").applyInArrow(screen, _PAIR_SCHEMA).distinct(), "pairs-across")
+    discard(tiles)
+    return out
 
-def _tile_links(large: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """Links among the classes of large tiles, enough of them to connect all that are connected within a tile.
 
-    First signatures alone go to the tiles; the classes with a possible partner
-    get their sets in a second round.  A pair is looked at in the first
-    of the large tiles that hold both.
-    """
-    tiles = saved(_blocks_of_tiles(large, percent), "tiles")
-
-    def screen(key: tuple, held: pa.Table) -> pa.Table:
-        keys, bits, n, sides = held["cls"].to_pylist(), held["bits"].to_pylist(), held["n"].to_numpy(), held["side"].to_numpy()
-        first, second = _sides(sides)
-        live = np.zeros(len(keys), bool)
-        if len(first) and len(second):
-            for x, y in _tile_matrix(bits, n, first, second, percent):
-                apart = np.array([keys[i] != keys[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
-                live[x[apart]] = live[y[apart]] = True
-        own = np.flatnonzero(live)
-        return pa.table({"tile": pa.array([key[0].as_py()] * len(own), pa.string()), "side": pa.array(sides[own], pa.int32()), "token": held["token"].take(pa.array(own)), "cls": held["cls"].take(pa.array(own))})
-
-    # small on disk, where repeated keys cost little, these tables are large in memory: no broadcasts
-    marked = tiles.join(features.select("cls", "bits").hint("merge"), "cls").select("tile", "side", "token", "cls", "n", "bits")
-    live = saved(marked.groupBy("tile").applyInArrow(screen, "tile string, side int, token long, cls binary"), "live-tiles")
-    member_of = live.groupBy("cls").agg(F.collect_set("token").alias("tokens"))
-
-    def link(key: tuple, held: pa.Table) -> pa.Table:
-        held = held.combine_chunks()
-        sets = [np.frombuffer(x, _U) for x in held["members"].to_pylist()]
-        n = np.array([len(x) for x in sets])
-        first, second = _sides(held["side"].to_numpy())
-        forest, a, b = Forest(len(sets)), [], []
-        token = held["token"][0].as_py()
-        earlier = [{t for t in x if t < token} for x in held["tokens"].to_pylist()]
-        keys = held["cls"].to_pylist()
-        if len(first) and len(second):
-            for xs, ys in _tile_matrix([bitmap(s).tobytes() for s in sets], n, first, second, percent):
-                for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-                    if keys[x] == keys[y] or forest.root(x) == forest.root(y) or earlier[x] and not earlier[x].isdisjoint(earlier[y]):
-                        continue
-                    if shared_members(sets[x], sets[y]) >= int(least_overlap(n[x], n[y], percent)):
-                        forest.join(x, y)
-                        a.append(keys[x])
-                        b.append(keys[y])
-        del held, sets
-        trim_memory()
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    full = live.join(member_of.hint("merge"), "cls").join(features.select("cls", "members").hint("merge"), "cls")
-    return full.groupBy("tile").applyInArrow(link, "a binary, b binary")
+def _shared_ids(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the smallest id of a class and its ids that other classes have, too."""
+    several = own.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("doc_id")
+    return own.join(several, "doc_id", "left_semi").join(classes, "cls").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -473,36 +519,47 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     sets of distinct ``width``-word shingles; ``component_id`` is the smallest
     ``doc_id`` within reach.  Fewer words than ``width`` are one shingle.  Null
     and empty texts have no shingle and link with nothing.  Rows without id
-    link with nothing and have no component.  Rows of one id are one document
-    to the components.  Extra columns are left out.
+    link with nothing and have no component.  Rows of one id that have
+    shingles are one document to the components.  Extra columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scanned = _sketched(rows, width)
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size_of(docs) // BYTES_PER_SLOT).bit_length()))
+    scanned = _sketched(rows, width, slots)
     own = scanned.filter(F.col("range").isNull()).select("doc_id", "n", "cls")
-    classes = saved(own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
-    load = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // SLOTS
-    crowded = flags_over(scanned.filter(F.col("range").isNotNull()), SLOTS, max(LEAST_CROWD, 2 * load))
+    named = own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = saved(named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    load = (classes.agg(F.sum("n")).first()[0] or 0) // slots
+    crowded = flags_over(scanned.filter(F.col("range").isNotNull()), slots, max(LEAST_CROWD, load + 8 * math.isqrt(load)))
+    classes_of = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"))
+    rows = rows.filter(F.col("doc_id").isNotNull())
     parts = task_count(docs, HEAD_BYTES_PER_PART, floor=8)
-    found = _candidates(_head_blocks(rows.filter(F.col("doc_id").isNotNull()), crowded, parts, width, percent), parts, percent)
-    pairs = saved(found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
-    large = found.filter(F.col("b").isNull()).select("token", "a", "n")
-    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(large.select(F.col("a").alias("cls"))).distinct()
-    features = _features(rows, named.join(classes, "cls"), width)
-    links = _linked(saved(_within_bound(pairs, features, percent), "bounded-pairs"), features, percent)
+    found = _candidates(_head_blocks(rows, crowded, parts, width, percent), parts, percent)
+    large = saved(found.filter(F.col("b").isNull()).select("token", F.col("a").alias("cls"), "n").join(classes.select("cls", "rep"), "cls"), "large-tiles")
+    pairs = found.filter(F.col("b").isNotNull()).select("a", "b").distinct().join(classes_of("a"), "a").join(classes_of("b"), "b")
+    pairs = saved(pairs.unionByName(_hub_pairs(large, percent)).distinct(), "pairs")
+    discard(found)
+    ends = lambda frame: frame.select(F.col("a").alias("cls"), F.col("rep_a").alias("rep")).unionByName(frame.select(F.col("b").alias("cls"), F.col("rep_b").alias("rep")))
+    wanted = saved(ends(pairs).unionByName(large.select("cls", "rep")).distinct(), "wanted")
+    features = _fetched(rows, wanted, width, "bits", bitmap)
+    close = saved(_within_bound(pairs, features, percent), "close-pairs")
+    discard(pairs, wanted)
+    wanted = saved(ends(close).unionByName(large.select("cls", "rep")).distinct(), "wanted")
+    members = _fetched(rows, wanted, width, "members", np.ascontiguousarray)
+    edges = _edges(_links(close, members, percent))
+    discard(close, wanted)
     if large.limit(1).count():
-        links = links.unionByName(_tile_links(large, features, percent))
-    links = saved(links.distinct(), "links")
-    rep = lambda side: classes.select(F.col("cls").alias(side), F.col("rep").alias(f"rep_{side}"))
-    edges = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    found = components(edges)
-    placed = classes.join(found, F.col("rep") == F.col("vertex"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
+        across = _pairs_across(large, roots(edges), features, percent)
+        edges = edges.unionByName(_edges(_links(across, members, percent)))
+        discard(across)
+    edges = edges.unionByName(_shared_ids(named, classes))
+    placed = classes.join(roots(edges), F.col("rep") == F.col("vertex"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     placed = saved(placed, "placed-classes")
+    discard(members, features, large, classes)
     lone = own.filter((F.col("n") == 0) | F.col("doc_id").isNull())
     return (
-        own.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        .join(placed, "cls")
+        named.join(placed, "cls")
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .unionByName(lone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )
