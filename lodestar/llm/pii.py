@@ -15,8 +15,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +36,16 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Documents whose windows the field may learn from, and windows it learns from, at most (in expectation).
-SAMPLE_DOCS, SAMPLE_WINDOWS = 20_000, 1200
+#: Documents whose windows the field may learn from, and windows it learns from, at most (in expectation), and their characters.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_CHARS = 20_000, 1200, 400
 EPOCHS, RATE, DECAY = 8, 0.2, 1e-4
 LONGEST = 15
 #: How far (in log odds) a span has to be ahead of leaving its tokens unlabelled.
 AHEAD = 2.0
-LEAST_DIGITS = 7
+#: Digits of a candidate without ``@``; one of four numbers between dots may have fewer.
+LEAST_DIGITS, MOST_DIGITS = 7, 24
+#: Tokens that are segmented at once.  A longer stretch passes in pieces that overlap, so that a piece holds every candidate.
+MOST_TOKENS = 512
 
 _HIT = re.compile("[0-9@]")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
@@ -79,19 +84,25 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", done)
     if _DIGIT.search(text):
         for m in _DOTTED.finditer(text):  # four parts make a match, the next four the next one
-            parts, start = m[0].split("."), m.start()
-            for i in range(0, len(parts) - 3, 4):
-                own = parts[i : i + 4]
-                end = start + sum(map(len, own)) + 3
-                if all(_small(x) for x in own):
-                    out.append((1, start, end))
-                start = end + 1
+            start, end = m.span()
+            while start < end:
+                dot = start - 1
+                for _ in range(3):
+                    dot = text.find(".", dot + 1, end) if dot >= start - 1 else -2
+                if dot < start:
+                    break
+                dot = text.find(".", dot + 1, end)
+                stop = dot if dot >= 0 else end
+                if all(_small(x) for x in text[start:stop].split(".")):
+                    out.append((1, start, stop))
+                start = stop + 1
         out += [(2, *m.span()) for m in CARD.finditer(text) if 13 <= m.end() - m.start() and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         out += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
 _DIGIT = re.compile("[0-9]")
+_RUN = re.compile("[0-9]+")
 
 
 def _small(part: str) -> bool:
@@ -120,7 +131,12 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
             end = right(end + 1)
         start = left(begin - 1) if begin > done + 1 else begin
         stop = right(end + 1) if end + 1 < n else end
-        if text.count("@", begin, end) or sum("0" <= c <= "9" for c in text[begin:end]) >= LEAST_DIGITS:
+        digits = 0
+        for m in _RUN.finditer(text, begin, end):
+            digits += len(m[0])
+            if digits >= LEAST_DIGITS:
+                break
+        if digits >= LEAST_DIGITS or text.count("@", begin, end) or digits >= 4 and text.count(".", begin, end) >= 3:
             yield start, stop
         done = end
         hit = _HIT.search(text, end)
@@ -131,16 +147,17 @@ def _side(c: str) -> str:
 
 
 def _shape(text: str) -> str:
-    kinds = ("9" if p[0].isdigit() else "a" if p[0].isalpha() else " " if p[0].isspace() else p for p in _PART.findall(text))
-    return "".join(kinds)[:28]
+    parts = (m[0] for m in islice(_PART.finditer(text), 28))
+    return "".join("9" if p[0].isdigit() else "a" if p[0].isalpha() else " " if p[0].isspace() else p for p in parts)
 
 
-def features(window: str, start: int, end: int, tokens: int) -> list[str]:
-    """What the field knows of a candidate span as a whole."""
-    text = window[start:end]
-    digits = _digits(text)
-    parts = re.findall("[0-9]+", text)
-    out = ["bias", f"digits={min(len(digits), 24)}", f"shape={_shape(text)}", f"tokens={tokens}", f"parts={'-'.join(str(min(len(p), 9)) for p in parts[:6])}", f"before={_side(window[start - 1 : start])}", f"after={_side(window[end : end + 1])}", f"first={_side(text[0])}", f"last={_side(text[-1])}"]
+def features(text: str, start: int, end: int, tokens: int, low: int = 0, high: int | None = None) -> list[str]:
+    """What the field knows of a candidate span as a whole, within the window from ``low`` to ``high``."""
+    around = text[start - 1 : start] if start > low else "", text[end : end + 1] if end < (len(text) if high is None else high) else ""
+    text = text[start:end]
+    parts = _RUN.findall(text)
+    digits = "".join(parts)
+    out = ["bias", f"digits={min(len(digits), 24)}", f"shape={_shape(text)}", f"tokens={tokens}", f"parts={'-'.join(str(min(len(p), 9)) for p in parts[:6])}", f"before={_side(around[0])}", f"after={_side(around[1])}", f"first={_side(text[0])}", f"last={_side(text[-1])}"]
     if "@" in text:
         out.append(f"at={text.count('@')},{'.' in text.rpartition('@')[2]}")
     letters = sum(c.isalpha() for c in text)
@@ -152,18 +169,25 @@ def features(window: str, start: int, end: int, tokens: int) -> list[str]:
     return out
 
 
-def lattice(window: str) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """(token borders, candidate spans as (first border, last border, features)).
+def lattice(text: str, low: int = 0, high: int | None = None, start: int | None = None, most: int | None = None) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
+    """(token borders, candidate spans as (first border, last border, features)) of the window from ``low`` to ``high``.
 
-    A candidate has a digit run of enough digits or one ``@``, begins and ends
-    with something other than white space, and has at most ``LONGEST`` tokens.
+    A candidate has enough digits, one ``@``, or four numbers and three dots;
+    it begins and ends with something other than white space, and has at most
+    ``LONGEST`` tokens.  ``start`` and ``most`` take that many of the window's
+    tokens from there.
     """
-    cuts = [0, *(m.end() for m in _TOKEN.finditer(window))]
-    words = [window[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    digits, ats = [0], [0]
+    high = len(text) if high is None else high
+    cuts = [low if start is None else start]
+    cuts += [m.end() for m in islice(_TOKEN.finditer(text, cuts[0], high), most)]
+    words = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    digits, ats, dots, runs = [0], [0], [0], [0]
     for w in words:
-        digits.append(digits[-1] + len(_digits(w)))
+        n = sum(map(len, _RUN.findall(w)))
+        digits.append(digits[-1] + n)
+        runs.append(runs[-1] + (n == len(w)))
         ats.append(ats[-1] + (w == "@"))
+        dots.append(dots[-1] + (w == "."))
     out = []
     for i, w in enumerate(words):
         if w.isspace() or not (w[0].isalnum() or w in "+(_%"):
@@ -172,14 +196,18 @@ def lattice(window: str) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
             if "\n" in words[j - 1]:
                 break
             n, at = digits[j] - digits[i], ats[j] - ats[i]
+            if n > MOST_DIGITS:
+                break
             last = words[j - 1]
-            if not (last[-1].isalnum()) or at > 1 or not (at or n >= LEAST_DIGITS) or n > 24:
+            if not (last[-1].isalnum()) or at > 1:
+                continue
+            if not at and n < LEAST_DIGITS and not (runs[j] - runs[i] == 4 and dots[j] - dots[i] == 3):
                 continue
-            if at and not any(c == "." for c in words[i:j]):
+            if at and dots[j] == dots[i]:
                 continue
             if not at and not (_DIGIT.match(w) or w in "+("):
                 continue
-            out.append((i, j, features(window, cuts[i], cuts[j], j - i)))
+            out.append((i, j, features(text, cuts[i], cuts[j], j - i, low, high)))
     return cuts, out
 
 
@@ -262,7 +290,11 @@ class Field:
 
 
 def _varied(window: str, spans: list[Span], rng: random.Random) -> tuple[str, list[Span]]:
-    """A window with some true spans rewritten as people also write them: phones without country code, spaced addresses."""
+    """A window with some true spans rewritten as people also write them.
+
+    Phones without country code, cards with dots or slashes, IPs with blanks
+    behind their dots, addresses with blanks around the sign.
+    """
     out, at, kept = [], 0, []
     length = 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
@@ -271,6 +303,10 @@ def _varied(window: str, spans: list[Span], rng: random.Random) -> tuple[str, li
         text = window[a:b]
         if kind == 3 and rng.random() < 0.4 and (m := re.match(r"\+[0-9]{1,3}[ .-]*(?=[(0-9])", text)) and len(_digits(text[m.end() :])) >= LEAST_DIGITS:
             text = text[m.end() :]
+        elif kind == 2 and rng.random() < 0.4:
+            text = re.sub("[ -]", rng.choice("./"), text) if re.search("[ -]", text) else "/".join(text[k : k + 4] for k in range(0, len(text), 4))
+        elif kind == 1 and rng.random() < 0.4:
+            text = text.replace(".", ". ")
         elif kind == 0 and rng.random() < 0.3:
             text = text.replace("@", " @ ")
         out += [window[at:a], text]
@@ -293,7 +329,7 @@ def train(docs: DataFrame, seed: int = 5) -> Field:
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
                 for a, b in windows(text):
-                    if b - a <= 400:
+                    if b - a <= SAMPLE_CHARS:
                         texts.append(text[a:b])
                         spots.append(",".join(f"{k}:{s - a}:{e - a}" for k, s, e in spans if a <= s and e <= b))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spots, pa.string())], ["window", "spans"])
@@ -317,22 +353,47 @@ def train(docs: DataFrame, seed: int = 5) -> Field:
     return field
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
-    """Spans that the field finds clear of all base spans."""
+    """Spans that the field finds clear of all base spans.
+
+    A window of more than ``MOST_TOKENS`` tokens is segmented piece by piece.
+    What a piece finds within its last ``LONGEST`` tokens is left to the next
+    one, which begins as many tokens earlier or at the end of what was found.
+    """
     out = []
     if not field.w:
         return out
+    starts, ends = _merged(base)
+
+    def covered(a: int, b: int) -> bool:
+        k = bisect_left(starts, b) - 1
+        return k >= 0 and ends[k] > a
+
     for begin, end in windows(text):
-        near = [(a, b) for _, a, b in base if a < end and b > begin]
-        window = text[begin:end]
-        cuts, candidates = lattice(window)
-        candidates = [(i, j, f) for i, j, f in candidates if not any(begin + cuts[i] < b and begin + cuts[j] > a for a, b in near)]
-        if not candidates:
-            continue
-        for kind, number, lead in field.best(len(cuts) - 1, candidates):
-            i, j, _ = candidates[number]
-            if lead >= AHEAD:
-                out.append((kind, begin + cuts[i], begin + cuts[j]))
+        at = begin
+        while at < end:
+            cuts, candidates = lattice(text, begin, end, at, MOST_TOKENS)
+            last = len(cuts) - 1
+            keep, at = (last, end) if cuts[-1] >= end else (last - LONGEST, cuts[last - 2 * LONGEST])
+            candidates = [c for c in candidates if not covered(cuts[c[0]], cuts[c[1]])]
+            for kind, number, lead in field.best(last, candidates) if candidates else ():
+                i, j, _ = candidates[number]
+                if j <= keep and lead >= AHEAD:
+                    out.append((kind, cuts[i], cuts[j]))
+                    at = max(at, cuts[j])
     return out
 
 
