@@ -176,7 +176,8 @@ def search(vectors: DataFrame, query: Column, k: int = 10, vec_id: str = "vec_id
     every = every.filter(F.size("v") == dim)
     sample = every.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
     hashing = fit(np.array(sample["v"].tolist()), n, k)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TABLES // ROWS_PER_PART))
+    # several parts for each task, which hash partitioning deals out evenly
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TABLES // ROWS_PER_PART))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,13 +251,14 @@ def search(vectors: DataFrame, query: Column, k: int = 10, vec_id: str = "vec_id
     lone = short.count()
     if not lone:
         return best
-    blocks = -(-lone // BLOCK_QUERIES)
+    blocks, found = -(-lone // BLOCK_QUERIES), []
     for i in range(blocks):  # each block of queries, of bounded size, against all rows
         own = short.filter(F.col("block") % blocks == i).select("query_id", "q").toPandas()
         if len(own):
-            exact = _ranked(every.select("vec_id", "v").mapInArrow(_against(own["query_id"].to_numpy(), np.array(own["q"].tolist()), k), _HITS), k)
-            best = best.join(exact.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact)
-    return best
+            exact = every.select("vec_id", "v").mapInArrow(_against(own["query_id"].to_numpy(), np.array(own["q"].tolist()), k), _HITS)
+            found.append(saved(_ranked(exact, k), "exact-neighbours").saved_path)
+    exact = spark.read.schema(best.schema).parquet(*found)
+    return best.join(short.select("query_id"), "query_id", "left_anti").unionByName(exact)
 
 
 def _against(ids: np.ndarray, queries: np.ndarray, k: int):
