@@ -6,8 +6,10 @@ sums, for every codeword, the classifiers' logistic losses weighted by how
 reliable each classifier was on the sample, takes the smallest, and flags a
 text as ambiguous whose runner-up comes close.
 
-Learned on at most about ``SAMPLE_ROWS`` labelled rows, an equal share of each
-language, drawn by a hash of the id over the whole table.
+Learned on at most about ``SAMPLE_ROWS`` labelled rows, or ``LEAST_ROWS`` of each
+language where those are more: an equal share of each language, drawn by a hash
+of the id over the whole table.  The classifiers' reliability is measured on a
+fifth of them, which the n-gram weights don't see.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ SAMPLE_ROWS = 6000
 LEAST_ROWS = 100  # of each language, where it has as many
 BITS = 15  # hashed n-grams: 2**15 slots
 ORDERS = (2, 3, 4)
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 AMBIGUOUS = 0.65  # a best language with less of the softmax of losses is ambiguous
 UNDETERMINED = "und"
 _SLOTS = 1 << BITS
@@ -143,11 +145,12 @@ def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, se
     languages = sorted(counts)
     place = {x: i for i, x in enumerate(languages)}
     share = max(LEAST_ROWS, sample_rows // len(languages))
-    limit = F.lit(0.0)
-    for name in languages:
-        limit = F.when(F.col("lang") == name, F.lit(min(1.0, share / counts[name]))).otherwise(limit)
+    limit = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, share / counts[name]))))[F.col("lang")]
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
-    sample = rows.filter(drawn < limit).select("lang", "text").repartition(6)
+    common = [x for x in languages if counts[x] >= LEAST_ROWS // 4]  # of rarer ones, all rows are learned from
+    own = rows.filter(drawn < limit).withColumn("apart", F.col("lang").isin(common) & (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) == 0))
+    sample = own.filter("not apart").select("lang", "text").repartition(6)
+    judged = own.filter("apart").select("lang", "text").repartition(6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -183,7 +186,9 @@ def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS, se
         yield pa.RecordBatch.from_arrays([pa.array([wrong.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["wrong", "n"])
 
     if len(languages) > 1:
-        found = sample.mapInArrow(errors, "wrong array<double>, n long").collect()
+        found = judged.mapInArrow(errors, "wrong array<double>, n long").collect()
+        if not sum(r["n"] for r in found):
+            return model
         rate = (np.sum([r["wrong"] for r in found], axis=0) + 1) / (sum(r["n"] for r in found) + 2)
         trust = np.log((1 - np.minimum(rate, 0.49)) / np.minimum(rate, 0.49))
         model.trust = trust / trust.mean()
