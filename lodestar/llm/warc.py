@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from lodestar.runtime import new_path, saved, ship, task_count
 
 SALTS = 16
+#: So many revisits, two numbers each, go to every task; more are joined by salted keys.
+BROADCAST_REVISITS = 500_000
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured_at long, archive string, offset long"
 _COLUMNS = [x.split()[0] for x in CAPTURE.split(", ")]
 _ARROW = pa.schema([(x, pa.int64() if t == "long" else pa.string()) for x, t in (y.split() for y in CAPTURE.split(", "))])
@@ -138,7 +140,15 @@ def write_archives(pages: DataFrame, path: str, captured_at: Column) -> DataFram
     spark = pages.sparkSession
     ship(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"), captured_at.cast("long").alias("at"))
-    joined = rows.join(revisits(rows), "page_id", "left").select("page_id", "url", "html", "at", "refers_to")
+    known = saved(revisits(rows), "warc-revisits")
+    if known.count() <= BROADCAST_REVISITS:
+        joined = rows.join(F.broadcast(known), "page_id", "left")
+    else:  # pages without id refer to none, and those of one id are spread
+        spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.filter(F.col("page_id").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int"))
+        lone = rows.filter(F.col("page_id").isNull()).withColumn("refers_to", F.lit(None).cast("long"))
+        joined = salted.join(spread, ["page_id", "salt"], "left").drop("salt").unionByName(lone)
+    joined = joined.select("page_id", "url", "html", "at", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _folder(path)
@@ -230,7 +240,7 @@ def merged_history(runs: DataFrame) -> DataFrame:
 
     Runs are cut at common range borders on the whole sort key, so that a URL
     with very many captures is spread too; each task merges its slices of all
-    runs.
+    runs in memory, which the size of a range bounds.
     """
     ship(runs.sparkSession)
 
