@@ -124,49 +124,90 @@ def likeness(a: str, b: str) -> float:
     return sum(x == y for x, y in filled) / len(filled) if filled else 0.0
 
 
-def _packed(ids: list[int], texts: list[str]) -> bytes:
+Row = tuple[int, int, str]
+
+
+def _packed(rows: list[Row]) -> bytes:
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+    ids, hashes, texts = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "hash", "text"])
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
     return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
 
 
-def _unpacked(blob: bytes) -> tuple[list[int], list[str]]:
+def _unpacked(blob: bytes) -> list[Row]:
     table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
-    return table["doc_id"].to_pylist(), table["text"].to_pylist()
+    return list(zip(*(table[c].to_pylist() for c in ("doc_id", "hash", "text")), strict=True))
 
 
 _NULL_ID = -(1 << 63)
+_LAST = (1 << 63) - 1
 COARSE = 2048
 
 
-def _id_bounds(rows: DataFrame, n: int) -> np.ndarray:
-    """Ids that cut the rows into about n ranges of similar size, each with at least one document.
+class Ranges:
+    """Ranges of (id, hash) pairs: each ends with one of ``bounds``, the last one with the largest pair."""
+
+    def __init__(self, bounds: list[tuple[int, int]]):
+        self.ids, self.hashes = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+
+    def __len__(self) -> int:
+        return len(self.ids) + 1
 
-    Every bound is an id of the table and the last id of its range; the
-    largest id is none.  Many ranges are found in two steps, so that no plan
-    holds more than ``COARSE`` quantiles; eight bytes for each range reach the
-    driver.
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The range of each pair: the number of bounds before it."""
+        out, ends = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, ids, "right")
+        for first in np.unique(out[ends > out + 1]).tolist():  # ids with several bounds
+            own = np.flatnonzero((out == first) & (ends > out + 1))
+            out[own] += np.searchsorted(self.hashes[first : ends[own[0]]], hashes[own])
+        return out
+
+
+def id_ranges(rows: DataFrame, n: int) -> Ranges:
+    """About n ranges of similar size for ``rows(doc_id, hash)``, each with at least one row.
+
+    Every bound is a pair of the table and the last of its range.  Ids that
+    fill several ranges are cut by the hash.  Many ranges are found in two
+    steps, so that no plan holds more than ``COARSE`` quantiles; a few bytes
+    for each range reach the driver.
     """
 
     def shares(k: int) -> list[float]:
         return [i / k for i in range(1, k)]
 
+    def grouped(cuts: np.ndarray) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, batch.column(0).to_numpy()).astype(np.int32)), batch.column(0)], ["range", "doc_id"])
+
+        return rows.select("doc_id").mapInArrow(deal, "range int, doc_id long").groupBy("range")
+
     first = min(n, COARSE)
     found = rows.agg(F.percentile_approx("doc_id", shares(max(2, first)), 20 * first).alias("at"), F.max("doc_id").alias("most")).first()
-    bounds = np.unique(np.array(found["at"] or [], np.int64))
+    if found["most"] is None:
+        return Ranges([])
     within = -(-n // first)
+    filled = {x: times * within for x, times in zip(*(y.tolist() for y in np.unique(found["at"], return_counts=True)), strict=True)}
     if within > 1:
-        coarse = bounds
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(coarse, batch.column(0).to_numpy()).astype(np.int32)), batch.column(0)], ["range", "doc_id"])
-
-        fine = rows.select("doc_id").mapInArrow(deal, "range int, doc_id long").groupBy("range").agg(F.percentile_approx("doc_id", shares(within), 20 * within).alias("at"))
-        bounds = np.unique(np.concatenate([bounds, *(np.array(r["at"], np.int64) for r in fine.collect())]))
-    return bounds[bounds < found["most"]] if len(bounds) else bounds
+        for r in grouped(np.array(sorted(filled), np.int64)).agg(F.percentile_approx("doc_id", shares(within), 20 * within).alias("at")).collect():
+            for x in r["at"]:
+                filled[x] = filled.get(x, 0) + 1
+    hot = {x: times for x, times in filled.items() if times >= 3 * within or times >= 3 and within > 1 and times > within}
+    cuts: dict[int, list[int]] = {}
+    if hot:
+        names, most = np.array(sorted(hot), np.int64), min(max(hot.values()), COARSE)
+        for r in rows.filter(F.col("doc_id").isin(sorted(hot))).groupBy("doc_id").agg(F.percentile_approx("hash", shares(most), 20 * most).alias("at"), F.max("hash").alias("most")).collect():
+            step = max(1, most // hot[r["doc_id"]])
+            cuts[r["doc_id"]] = [x for x in sorted(set(r["at"][step - 1 :: step])) if x < r["most"]]
+        before = grouped(names).agg(F.max(F.when(~F.col("doc_id").isin(sorted(hot)), F.col("doc_id"))).alias("last")).collect()
+        filled.update({r["last"]: 1 for r in before if r["last"] is not None})
+    bounds = []
+    for x in sorted(filled):
+        bounds += [(x, cut) for cut in cuts.get(x, [])]
+        if x < found["most"]:
+            bounds.append((x, _LAST))
+    return Ranges(bounds)
 
 
 def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -174,45 +215,46 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
     The edited text has the last third of the code points replaced by the
     beginning of the next document's, in descending ``doc_id`` order; after
-    the last document comes the first.  Equal ids follow in descending text
-    order; null ids come last.  Texts travel once, in compressed blocks, to
-    the range of ids they belong to; each range also gets the largest document
-    of the range below from every block, so that order needs no single task.
+    the last document comes the first.  Equal ids follow in descending order of
+    a hash of the text, then of the text; null ids come last.  Texts travel
+    once, in compressed blocks, to the range of ids they belong to; each range
+    also gets the largest document of the range below from every block, so that
+    order needs no single task.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = _id_bounds(rows, 2 * task_count(docs))
-    parts = len(bounds) + 1
+    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    ranges = id_ranges(rows.select("doc_id", "hash"), 2 * task_count(docs))
+    parts = len(ranges)
     shared = spark.sparkContext.broadcast(terms)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1)
-            part = np.searchsorted(bounds, ids)
+            ids, hashes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            part = ranges.of(ids, hashes)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
             to, halo, blobs = [], [], []
             for own in np.split(order, cuts[1:]):
-                held, words = ids[own].tolist(), texts.take(pa.array(own)).to_pylist()
-                top = max(zip(held, words, strict=True))
+                held = list(zip(ids[own].tolist(), hashes[own].tolist(), texts.take(pa.array(own)).to_pylist(), strict=True))
                 here = int(part[own[0]])
                 to += [here, (here + 1) % parts]
                 halo += [False, True]
-                blobs += [_packed(held, words), _packed([top[0]], [top[1]])]
+                blobs += [_packed(held), _packed([max(held)])]
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(halo), pa.array(blobs, pa.binary())], ["part", "halo", "blob"])
 
-    def finish(pairs: list[tuple[int, str]], after: tuple[int, str]) -> Iterator[pa.RecordBatch]:
+    def finish(pairs: list[Row], after: Row) -> Iterator[pa.RecordBatch]:
         pairs.sort(reverse=True)
         lexicon_terms = shared.value
         following = [*pairs[1:], after]
         begin, size = 0, 0
         for end in range(1, len(pairs) + 1):
-            size += len(pairs[end - 1][1])
+            size += len(pairs[end - 1][2])
             if size < 1 << 21 and end < len(pairs):
                 continue
-            texts = [x[1] for x in pairs[begin:end]]
-            nexts = [x[1] for x in following[begin:end]]
+            texts = [x[2] for x in pairs[begin:end]]
+            nexts = [x[2] for x in following[begin:end]]
             edited = []
             for own, follows in zip(texts, nexts, strict=True):
                 third = len(own) // 3
@@ -235,7 +277,7 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
                     if pairs:
                         yield from finish(pairs, max(below))
                     now, pairs, below = part, [], []
-                (below if halo else pairs).extend(zip(*_unpacked(blob.as_py()), strict=True))
+                (below if halo else pairs).extend(_unpacked(blob.as_py()))
         if pairs:
             yield from finish(pairs, max(below))
 
