@@ -59,7 +59,8 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
     ascend by it); columns of these names in ``docs`` are replaced.  The same
     seed, id and rate give the same number.  A null id counts as the MD5 of its
     text; repeated rows get equal numbers and so stay repeated; a source
-    without a rate, or of rate 0, is left out.
+    without a rate, or of rate 0, is left out.  The key follows the text, too,
+    so that texts of one id are spread.
     """
     table = rates.select(F.col("source").alias("__source"), F.col("rate"), poisson_cdf(F.col("rate")).alias("__cdf"))
     rows = docs.drop("rate", "copy", "shuffle_key")
@@ -73,7 +74,8 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
     # inverse distribution function: the number of k with P(N <= k) <= u
     number = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
     copies = drawn.withColumn("copy", F.explode(F.when(number > 0, F.sequence(F.lit(1), number)).otherwise(F.array().cast("array<int>")))).drop("__cdf", "__u", "__source")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), identity, F.col("copy"))))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), identity, F.col("copy"), text)))
     n = task_count(docs)
     # keys are uniform, so equal ranges of their heads hold equal shares: no sampling pass
     part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * n).cast("int")

@@ -3,7 +3,8 @@
 Layout of a token file set (one folder):
 
 * files in ascending ``doc_id`` order by part number, rows in ascending ``doc_id``
-  order within a file (equal ids by text; null ids first);
+  order within a file (equal ids by a hash of the text, then by text; null ids
+  first);
 * ``doc_id``, ``n_tokens``, ``first_token`` (position of the document's first
   id within its part) and ``token_ids``;
 * every stripe has a row index and a Bloom filter on ``doc_id``, so that a
@@ -59,7 +60,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, co
                 first += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(task_count(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits an id with very many texts; ids and hashes alone are sampled for the ranges
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(task_count(docs), *order).sortWithinPartitions(*order, "text")
     writer = ordered.mapInArrow(tidy(encode), SCHEMA).write.option("compression", codec)
     for key, value in {"orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": 1000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}.items():
         writer = writer.option(key, str(value))
