@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
 import signal
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -87,6 +89,42 @@ def test_codewords_are_apart(k):
     assert not apart or min(apart) >= max(1, code.shape[1] // 5)
 
 
+def test_decoding_against_plain_arithmetic(spark, documents, texts):
+    """Mean evidence of each classifier from n-gram slots one by one, then loss-weighted decoding, without arrays."""
+    model = langid.train(documents, F.lit(True))
+    assert len(set(model.trust.tolist())) > 1 or len(model.trust) == 1
+    got = {r["doc_id"]: r for r in langid.predict(documents, model).collect()}
+
+    def slots_of(raw):
+        fold = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in raw]
+        for start in range(len(fold)):
+            h, blank = 0, True
+            for n, c in enumerate(fold[start : start + 4], 1):
+                h = (h ^ c) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+                blank &= c == 32
+                if n > 1 and not blank:
+                    yield (h * 0x85EBCA6B & 0xFFFFFFFF) >> 17
+
+    for d, r in list(texts.items())[:40]:
+        found = list(slots_of((r["text"] or "")[:3000].encode()))
+        if not found or len(r["text"]) > 3000 or got[d]["lang_pred"] == "und":
+            continue
+        margins = [sum(float(model.weights[s, b]) for s in found) / math.sqrt(len(found)) for b in range(model.code.shape[1])]
+        losses = [sum(math.log1p(math.exp(-m * c)) * t for m, c, t in zip(margins, word, model.trust, strict=True)) for word in model.code]
+        best = min(range(len(losses)), key=losses.__getitem__)
+        assert got[d]["lang_pred"] == model.languages[best]
+        assert got[d]["score"] == pytest.approx(1 / sum(math.exp(losses[best] - x) for x in losses), abs=1e-4)
+
+
+def test_short_texts(spark, documents, texts):
+    """Held-out texts of at most 60 characters count, too; those with a letter get a language."""
+    rows = [r for r in langid.identify(documents).collect() if len(texts[r["doc_id"]]["text"] or "") <= 60]
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in rows)
+    lettered = [r for r in rows if r["lang_pred"] != "und" and r["lang"] is not None]
+    assert not lettered or np.mean([r["lang_pred"] == r["lang"] for r in lettered]) >= 0.7
+
+
 def test_prediction_sees_only_text(spark, documents):
     model = langid.train(documents, F.lit(True))
     mixed = documents.withColumns({"lang": F.lit("xx"), "source": F.lit("yy"), "doc_id": -F.col("doc_id")})
@@ -154,8 +192,33 @@ def test_warc(spark):
     for r in rows:
         raw = (pages[r["page_id"]] or "").encode()
         assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
-    order = [(r["url_key"], r["captured_at"]) for r in rows]
-    assert order == sorted(order)
+    first = {}
+    for page in sorted(pages):
+        first.setdefault(pages[page] or "", page)
+    assert all(r["refers_to"] == (None if first[pages[r["page_id"]] or ""] == r["page_id"] else first[pages[r["page_id"]] or ""]) for r in rows)
+    assert all((r["record_type"] == "response") == (r["refers_to"] is None) for r in rows)
+    order = [(r["url_key"], r["captured_at"]) for r in warc.capture_history(spark.read.parquet(f"{SMALL}/pages.parquet")).collect()]
+    assert order == sorted(order) and len(order) == len(pages)
+
+
+def test_warc_many_revisits_without_broadcast(spark, monkeypatch):
+    """Joined by salted keys: the same records, and pages of one id or none in more than one task."""
+    rows = [(i % 50 if i % 2 else (None if i % 4 else 7), f"http://h{i % 9}.com/{i}", f"page {i % 60}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda: Counter((r["page_id"], r["record_type"], r["refers_to"], r["url_key"]) for r in warc.capture_history(pages).collect())
+    want = key()
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)
+    assert key() == want and sum(n for (_, kind, _, _), n in want.items() if kind == "revisit") > 100
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op10_ngram_join"])
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    rel = con.sql(q.ORACLES[name])
+    key = lambda rows: sorted(rows, key=repr)
+    assert key(map(tuple, q.QUERIES[name](spark, SMALL).select(rel.columns).collect())) == key(rel.fetchall())
 
 
 def test_warc_revisits_and_odd_rows(spark):
@@ -306,12 +369,62 @@ def test_imatch_ranges_in_two_steps(spark, documents, monkeypatch):
     terms = imatch.lexicon(documents)
     want = sorted(map(tuple, imatch.edited_fingerprints(documents, terms).collect()))
     monkeypatch.setattr(imatch, "COARSE", 3)
-    rows = documents.select(F.col("doc_id"))
-    bounds = imatch._id_bounds(rows, 12)
-    assert len(bounds) > 8 and set(bounds.tolist()) <= {r[0] for r in rows.collect()}
+    rows = documents.select("doc_id", F.xxhash64("text").alias("hash"))
+    ranges = imatch.id_ranges(rows, 12)
+    assert len(ranges) > 8 and set(ranges.ids.tolist()) <= {r[0] for r in rows.collect()}
     assert sorted(map(tuple, imatch.edited_fingerprints(documents, terms).collect())) == want
 
 
+@pytest.mark.parametrize("coarse", [2048, 4])
+def test_imatch_splits_hot_ids(spark, monkeypatch, coarse):
+    """An id, and rows without one, with half of all texts: several ranges, none without rows, and the same order."""
+    monkeypatch.setattr(imatch, "COARSE", coarse)
+    rng = random.Random(3)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(9)) + f" {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(imatch._NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    ranges = imatch.id_ranges(keyed.select("doc_id", "hash"), 12)
+    found = [tuple(r) for r in keyed.collect()]
+    part = ranges.of(np.array([r[0] for r in found]), np.array([r[1] for r in found]))
+    held = Counter(part.tolist())
+    assert set(held) == set(range(len(ranges))) and max(held.values()) <= 150
+    order = sorted(found, reverse=True)
+    assert [int(p) for _, p in sorted(zip(found, part, strict=True), reverse=True)] == sorted(part.tolist(), reverse=True)
+    want = Counter()
+    for i, (_, _, own) in enumerate(order):
+        third = len(own) // 3
+        want[hashlib.sha256((own[: len(own) - third] + order[(i + 1) % len(order)][2][:third]).encode()).hexdigest()] += 1
+    monkeypatch.setattr(imatch, "task_count", lambda df: 6)
+    assert Counter(r["edited_sha256"] for r in imatch.edited_fingerprints(docs, np.zeros(0, np.uint64)).collect()) == want
+
+
+def test_fingerprints_against_plain_sets(documents, texts):
+    """Which texts share a subset's hash, by sets of words: the lexicon, the draws and the sums come out as sets would."""
+    n = len(texts)
+    words = {d: set(re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(r["text"] or ""))) for d, r in texts.items()}
+    df = Counter(w for own in words.values() for w in own)
+    known = sorted(w for w in df if imatch.LOW_SHARE * n <= df[w] <= imatch.HIGH_SHARE * n)
+    terms = imatch.lexicon(documents)
+    assert len(terms) == len(known)
+    single = dict(zip(known, imatch.fingerprints(pa.array(known), terms), strict=True))
+    whole = dict(zip(texts, imatch.fingerprints(pa.array([r["text"] for r in texts.values()]), terms), strict=True))
+    cut = lambda x, k: x[8 * k : 8 * k + 8]
+    for k, share in enumerate(imatch.SUBSETS):
+        chosen = {w for w in known if cut(single[w], k) != imatch.EMPTY}
+        assert abs(len(chosen) / len(known) - share) < 4 * math.sqrt(share / len(known))
+        by_set, by_hash = defaultdict(set), defaultdict(set)
+        for d, own in words.items():
+            if own & set(known):
+                by_set[frozenset(own & chosen)].add(d)
+                by_hash[cut(whole[d], k)].add(d)
+        assert sorted(map(sorted, by_set.values())) == sorted(map(sorted, by_hash.values()))
+    bare = defaultdict(set)
+    for d, own in words.items():
+        if not own & set(known):
+            bare[frozenset(own)].add(whole[d])
+    assert all(len(x) == 1 and next(iter(x))[0] == "=" for x in bare.values()) and len(set.union(set(), *bare.values())) == len(bare)
+
+
 def test_imatch_odd_rows(spark, odd, none):
     rows = imatch.edited_fingerprints(odd, imatch.lexicon(odd)).collect()
     assert len(rows) == odd.count() and sum(r["doc_id"] is None for r in rows) == 2
@@ -335,6 +448,52 @@ def test_token_files(spark, texts):
         start += len(ids)
 
 
+def test_token_files_are_as_described(spark, documents):
+    """Several stripes, run-length encoding, row indexes and Bloom filters, and a filter that skips by them."""
+    path = new_path(spark, "tokens")
+    many = documents.select((F.col("doc_id") * 3).alias("doc_id"), "text").repartition(1)
+    tokenfile.write_tokens(many, path, q.BYTE_BPE, stripe_bytes=1 << 16)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = [x.getPath() for x in root.getFileSystem(conf).listStatus(root) if x.getPath().getName().endswith(".orc")]
+    last = None
+    for file in sorted(files, key=lambda x: int(re.match(r"part-(\d+)", x.getName())[1])):
+        reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "NONE"
+        names = list(reader.getSchema().getFieldNames())
+        for stripe in reader.getStripes():
+            footer = reader.rows().readStripeFooter(stripe)
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            own = 1 + names.index("doc_id")
+            assert (own, "ROW_INDEX") in kinds and (own, "BLOOM_FILTER_UTF8") in kinds
+            assert footer.getColumns(own).getKind().toString() == "DIRECT_V2"
+        numbers = reader.getStatistics()[1 + names.index("doc_id")]
+        assert last is None or numbers.getMinimum() > last
+        last = numbers.getMaximum()
+    rows = {r["doc_id"]: r for r in tokenfile.read_tokens(spark, path).collect()}
+    some = sorted(rows)[17]
+    one = tokenfile.read_tokens(spark, path).filter(F.col("doc_id") == some)
+    assert one.collect() == [rows[some]] and "EqualTo(doc_id" in one._jdf.queryExecution().executedPlan().toString()
+    assert tokenfile.read_tokens(spark, path).filter(F.col("doc_id") == some + 1).count() == 0
+
+
+@pytest.mark.parametrize("write", ["tokens", "mix"])
+def test_hot_ids_are_spread(spark, write):
+    """Half of all rows under one id, a quarter without one: no task gets more than a fair share by much."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 5).when(F.col("id") % 4 == 1, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    if write == "mix":
+        rates = spark.createDataFrame([("s", 1.0)], "source string, rate double")
+        sizes = mixing.mix(docs, rates).groupBy(F.spark_partition_id()).count().collect()
+    else:
+        path = new_path(spark, "tokens")
+        tokenfile.write_tokens(docs, path, q.BYTE_BPE)
+        rows = tokenfile.read_tokens(spark, path)
+        starts = sorted((r["start"], r["n_tokens"]) for r in rows.collect())
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and len(starts) == 4000
+        sizes = spark.read.orc(path).groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1800
+
+
 def test_token_files_odd_rows(spark, odd, none):
     path = new_path(spark, "tokens")
     tokenfile.write_tokens(odd, path, q.BYTE_BPE)
@@ -401,6 +560,63 @@ def test_field_finds_what_the_patterns_drop(spark):
     assert pii.added_spans("chapter 12 of 2024, version 4.0", [], field) == []
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    """A field that has seen all four kinds among plain numbers."""
+    rng = random.Random(8)
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def line(i):
+        kinds = [f"mail x{i}@mail.example.com", f"host 10.{i % 250}.0.{i % 199}", f"pay {with_check(number(15))}", f"pay {blocks(with_check(number(15)))}", f"call +1 407 555 {number(4)}", f"order {number(9)}", f"date {number(4)}-{number(2)}-{number(2)} {number(2)}:{number(2)}", f"room {number(3)}, version {number(1)}.{number(2)}"]
+        return (i, " and ".join(rng.sample(kinds, 3)))
+
+    return pii.train(spark.createDataFrame([line(i) for i in range(2000)], "doc_id long, text string"))
+
+
+def with_check(head):
+    return head + next(c for c in "0123456789" if pii.luhn(head + c))
+
+
+def blocks(digits, by=" "):
+    return by.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+
+def test_added_spans_by_kind(trained):
+    """Variants that the patterns miss: most are found whole, as their kind; plain numbers stay."""
+    rng = random.Random(9)
+    found = Counter()
+    for i in range(100):
+        card = blocks(with_check("".join(rng.choice("0123456789") for _ in range(15))), "./"[i % 2])
+        planted = {0: f"x{i}@mail.example.com".replace("@", " @ "), 1: f"10. {i}. 0. {i % 9}", 2: card, 3: f"407 555 {rng.randrange(1000, 9999)}"}
+        for kind, own in planted.items():
+            text = f"see {own} and more"
+            assert not any(s[0] == kind for s in pii.base_spans(text))
+            found[kind] += (kind, 4, 4 + len(own)) in pii.added_spans(text, pii.base_spans(text), trained)
+    assert all(found[k] >= 60 for k in range(4)), found
+    clean = [f"order {rng.randrange(10**8, 10**9)} of 2024-03-{i % 28 + 1:02d} 12:30, room {i}, version {i}.2.{i % 7}" for i in range(100)]
+    assert sum(len(pii.added_spans(t, [], trained)) for t in clean) <= 5
+
+
+def test_long_stretches_pass_in_pieces(trained, monkeypatch):
+    """Pieces find what one window finds; memory doesn't follow the length of a text."""
+    rng = random.Random(10)
+    text = " ".join(rng.choice([f"x{i} @ mail.example.com", f"10. {i}.0. 7", f"{i}-{i % 7}", f"+1 407 555 {1000 + i}", str(i * i)]) for i in range(900))
+    monkeypatch.setattr(pii, "MOST_TOKENS", 10**9)
+    whole = pii.added_spans(text, pii.base_spans(text), trained)
+    monkeypatch.setattr(pii, "MOST_TOKENS", 64)
+    assert len(whole) > 20 and set(pii.added_spans(text, pii.base_spans(text), trained)) == set(whole)
+    monkeypatch.setattr(pii, "MOST_TOKENS", 512)
+    for unit in ("123456 ", "1-2-3-", "1.2.3.4."):
+        text = unit * (300_000 // len(unit))
+        tracemalloc.start()
+        pii.added_spans(text, pii.base_spans(text) if unit != "1.2.3.4." else [], trained)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20, (unit, peak)
+
+
 def test_best_segmentation_is_the_best(spark):
     """The dynamic program against all segmentations."""
     rng = random.Random(2)
@@ -534,6 +750,38 @@ def test_join_odd_rows(odd, none):
     assert ngramjoin.jaccard_components(none).count() == 0
 
 
+def test_join_rows_of_one_id(spark):
+    """Rows of one id are one document: its texts' classes are one component."""
+    a, b, c = ("one two three four five six seven", "red green blue white black grey", "north south east west up down")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, c), (4, c), (6, ""), (6, c)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(docs).collect())
+    assert got == Counter([(3, 3, 3), (5, 3, 3), (5, 2, 3), (7, 2, 3), (9, 2, 4), (4, 2, 4), (6, 0, 6), (6, 2, 4)])
+
+
+def test_join_by_ids_beyond_the_filter(spark, monkeypatch):
+    texts = dict(enumerate(t for f in range(4) for t in family(f, 12, noise=0.02)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(ngramjoin, "FILTER_BITS", 1)
+    assert components_of(ngramjoin.jaccard_components(docs)) == plain_components(texts)
+
+
+def test_pairs_within_bounds_lose_no_link():
+    """Every pair of different labels that links is among the bounded ones, in one block and between two."""
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(1, 2**63, n, dtype=np.uint64)) for n in (30, 60, 61, 200)]
+    sets = [np.unique(np.concatenate([x[rng.random(len(x)) > loss], rng.integers(1, 2**63, int(len(x) * loss), dtype=np.uint64)])) for x in base for loss in (0.02, 0.05, 0.1, 0.15) * 8]
+    n, label = np.array([len(x) for x in sets]), rng.integers(0, 4, len(sets))
+    bits = [ngramjoin.bitmap(x) for x in sets]
+    links = {(i, j) for i, j in combinations(range(len(sets)), 2) if label[i] != label[j] and ngramjoin.shared_members(sets[i], sets[j]) >= ngramjoin.least_overlap(n[i], n[j], 80)}
+    for sides in (np.full(len(sets), 2), rng.integers(0, 2, len(sets))):
+        found = set()
+        for first, second in ngramjoin._sides(sides, label):
+            for x, y in ngramjoin.bounded_pairs(bits, n, label, first, second, 80):
+                found |= {(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        want = links if (sides == 2).all() else {(i, j) for i, j in links if sides[i] != sides[j]}
+        assert len(want) > 50 and want <= found and len(found) < len(sets) ** 2 / 3
+
+
 def test_exactly_at_the_threshold(spark):
     """4 of 5 shingles shared links; 7 of 9 doesn't."""
     w = [f"w{i}" for i in range(20)]
@@ -564,7 +812,9 @@ def test_set_hashes_follow_words():
     assert sets[2] < sets[0] < sets[6]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("alone", [1 << 18, 0])
+def test_components(spark, monkeypatch, alone):
+    monkeypatch.setattr(components, "TASK_EDGES", alone)
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1080)]
     up = {}

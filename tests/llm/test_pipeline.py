@@ -37,6 +37,14 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert sum(r["doc_id"] is None for r in once) == 2
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    a, b = "one two three four five six seven eight", "red green blue white black grey brown pink"
+    rows = [(1, a, "en", "s", 1), (1, a, None, "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "fr", "s", 1), (None, a, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.near_duplicates(spark, docs, SMALL).collect()
+    assert sorted(r["text"] for r in kept if r["doc_id"] is not None) == [a, b] and sum(r["doc_id"] is None for r in kept) == 1
+
+
 def test_run(spark):
     assert [n for n, _ in pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "mixing", "sentencepiece"]
     assert pipeline.run(spark, SMALL).count() > 0
