@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import langid, mixing, ngramjoin, pii, sentencepieces
 from lodestar.llm.queries import PIECES
-from lodestar.runtime import saved, table
+from lodestar.runtime import discard, freed_shuffles, saved, table
 
 #: A document whose best language has less of the softmax of decoding losses has no language.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -27,18 +27,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of links; of rows that share an id, the smallest row.
+    """One document of each component of links: that of smallest id.
 
-    Rows without id stay.
+    Where ids repeat, rows of equal id and text are one (the smallest row
+    stays), and texts of one id are documents of their own, named by a hash of
+    id and text: of those of a component's smallest id, the smallest name
+    stays.  Rows without id stay.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    if named.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        rest = [c for c in docs.columns if c != "doc_id"]
-        once = named.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(docs.columns)
-        docs = saved(once.unionByName(docs.filter(F.col("doc_id").isNull())), "rows-once")
-    placed = ngramjoin.jaccard_components(docs)
-    gone = placed.filter(F.col("component_id") < F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    with freed_shuffles(spark):
+        repeated = named.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if not repeated:
+        placed = ngramjoin.jaccard_components(docs)
+        gone = placed.filter(F.col("component_id") < F.col("doc_id")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "text", "row.*")
+    once = saved(once.withColumn("__name", F.xxhash64("doc_id", "text")), "rows-once")
+    placed = ngramjoin.jaccard_components(once.select(F.col("__name").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__name")
+    first = placed.join(once.select("__name", "doc_id"), "__name").groupBy("component_id").agg(F.min(F.struct("doc_id", "__name")).alias("first"))
+    kept = once.join(first.select(F.col("first.__name").alias("__name")), "__name", "left_semi").select(docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +82,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
