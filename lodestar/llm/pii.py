@@ -29,11 +29,12 @@ from lodestar.runtime import ship, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.  Of the address the parts around the sign stand alone, and
-# the numbers of an IP are cut out of dotted runs, so that long texts take linear time.
+# the numbers of an IP are cut out of dotted runs, so that long texts take linear time.  Nothing
+# follows a repeated group, so that possessive repeats (no memory for each round) find the same.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Documents whose windows the field may learn from, and windows it learns from, at most (in expectation), and their characters.
@@ -66,6 +67,16 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _digits_within(text: str, begin: int, end: int, most: int) -> int:
+    """How many digits there are, counted up to more than ``most``."""
+    n = 0
+    for m in _RUN.finditer(text, begin, end):
+        n += len(m[0])
+        if n > most:
+            break
+    return n
+
+
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) of the base matches, by kind and start: leftmost and not overlapping within a kind.
 
@@ -86,18 +97,21 @@ def base_spans(text: str) -> list[Span]:
         for m in _DOTTED.finditer(text):  # four parts make a match, the next four the next one
             start, end = m.span()
             while start < end:
-                dot = start - 1
+                at = start
                 for _ in range(3):
-                    dot = text.find(".", dot + 1, end) if dot >= start - 1 else -2
-                if dot < start:
+                    at = text.find(".", at, end) + 1
+                    if not at:
+                        break
+                if not at:
                     break
-                dot = text.find(".", dot + 1, end)
+                dot = text.find(".", at, end)
                 stop = dot if dot >= 0 else end
                 if all(_small(x) for x in text[start:stop].split(".")):
                     out.append((1, start, stop))
                 start = stop + 1
-        out += [(2, *m.span()) for m in CARD.finditer(text) if 13 <= m.end() - m.start() and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
-        out += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
+        # 19 digits and as many separators are fewer than 40 characters
+        out += [(2, *m.span()) for m in CARD.finditer(text) if 13 <= m.end() - m.start() < 40 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+        out += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= _digits_within(text, *m.span(), 15) <= 15]
     return out
 
 
@@ -131,11 +145,7 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
             end = right(end + 1)
         start = left(begin - 1) if begin > done + 1 else begin
         stop = right(end + 1) if end + 1 < n else end
-        digits = 0
-        for m in _RUN.finditer(text, begin, end):
-            digits += len(m[0])
-            if digits >= LEAST_DIGITS:
-                break
+        digits = _digits_within(text, begin, end, LEAST_DIGITS)
         if digits >= LEAST_DIGITS or text.count("@", begin, end) or digits >= 4 and text.count(".", begin, end) >= 3:
             yield start, stop
         done = end
@@ -433,32 +443,39 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
     return rest.mapInArrow(tidy(scan), schema)
 
 
-def redact(docs: DataFrame, spans: str = "spans") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans by their first kind.
+def replaced(text: str, spans: list[Span]) -> str:
+    """The text with every span replaced by its kind in angle brackets; overlapping spans by their first kind."""
+    out, end = [], 0
+    for a, b, kind in sorted((a, b, KINDS[k]) for k, a, b in spans):
+        if a >= end:
+            out += [text[end:a], f"<{kind.upper()}>"]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
+
 
-    Expects the columns of ``find``; a null text stays null.
+def redact(docs: DataFrame, field: Field) -> DataFrame:
+    """``docs`` with every span of ``text``, base or added, replaced by its kind; a null text stays null.
+
+    One pass over the texts, without the columns of ``find``.
     """
     ship(docs.sparkSession)
-    at, place = docs.columns.index("text"), docs.columns.index(spans)
+    place = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(dict(field.w))
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Field()
+        fitted.w = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for row, found in enumerate(batch.column(place).to_pylist()):
-                if not found:
-                    continue
-                cut = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in found.split(",")))
-                out, end = [], 0
-                for a, b, kind in cut:
-                    if a >= end:
-                        out += [texts[row][end:a], f"<{kind.upper()}>"]
-                    end = max(end, b)
-                texts[row] = "".join([*out, texts[row][end:]])
+            texts = batch.column(place).to_pylist()
+            for row, text in enumerate(texts):
+                base = base_spans(text or "")
+                if spans := base + added_spans(text or "", base, fitted):
+                    texts[row] = replaced(text, spans)
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, columns[at].type)
+            columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(replace, docs.schema)
+    return docs.mapInArrow(tidy(replace), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
