@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -157,6 +158,7 @@ def steady_memory(block: int = 2 << 20) -> None:
 
 def trim_memory() -> None:
     """Return what is free in this process to the system."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
