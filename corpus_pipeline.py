@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind; ``n_chars`` counted again."""
-    clean = pii.redact(pii.find(docs, pii.train(docs)))
+    clean = pii.redact(docs, pii.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
