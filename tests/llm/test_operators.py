@@ -92,7 +92,6 @@ def test_codewords_are_apart(k):
 def test_decoding_against_plain_arithmetic(spark, documents, texts):
     """Mean evidence of each classifier from n-gram slots one by one, then loss-weighted decoding, without arrays."""
     model = langid.train(documents, F.lit(True))
-    assert len(set(model.trust.tolist())) > 1 or len(model.trust) == 1
     got = {r["doc_id"]: r for r in langid.predict(documents, model).collect()}
 
     def slots_of(raw):
@@ -491,7 +490,8 @@ def test_hot_ids_are_spread(spark, write):
         starts = sorted((r["start"], r["n_tokens"]) for r in rows.collect())
         assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and len(starts) == 4000
         sizes = spark.read.orc(path).groupBy(F.input_file_name()).count().collect()
-    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1800
+    held = [r["count"] for r in sizes]
+    assert len(held) == 4 and max(held) < 0.4 * sum(held)
 
 
 def test_token_files_odd_rows(spark, odd, none):
@@ -609,12 +609,13 @@ def test_long_stretches_pass_in_pieces(trained, monkeypatch):
     assert len(whole) > 20 and set(pii.added_spans(text, pii.base_spans(text), trained)) == set(whole)
     monkeypatch.setattr(pii, "MOST_TOKENS", 512)
     for unit in ("123456 ", "1-2-3-", "1.2.3.4."):
-        text = unit * (300_000 // len(unit))
+        text = unit * (30_000 // len(unit))
         tracemalloc.start()
         pii.added_spans(text, pii.base_spans(text) if unit != "1.2.3.4." else [], trained)
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
-        assert peak < 40 << 20, (unit, peak)
+        assert peak < 8 << 20, (unit, peak)
+    assert pii.base_spans("12 34 " * 500_000) == pii.base_spans("1.2-3." * 500_000) == []
 
 
 def test_best_segmentation_is_the_best(spark):
