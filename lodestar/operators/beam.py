@@ -82,20 +82,24 @@ def load(graph: DataFrame, base: DataFrame, codes: DataFrame | None = None, pivo
     rows = base.select("id", "vector", *[c for c in (member, maybe) if c]).join(graph, "id", "left")
     if codes is not None:
         rows = rows.join(codes, "id")
-    pdf = rows.orderBy("id").toPandas()
-    ids = pdf["id"].to_numpy(np.int64)
+    held = rows.orderBy("id").toArrow().combine_chunks()
+    ids = held["id"].to_numpy().astype(np.int64)
+    column = lambda name: pa.concat_arrays(held[name].chunks) if held[name].num_chunks else pa.array([], held.schema.field(name).type)
 
-    def flat(column: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = [np.asarray([] if x is None else x, np.int64) for x in pdf[column]]
-        links = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = column(name)
+        links = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.searchsorted(ids, links)
         if len(links) and (at.max() >= len(ids) or (ids[at] != links).any()):
             raise ValueError("an edge leads out of the data")
-        return np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), at
+        return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64), at
+
+    def marked(name: str | None) -> np.ndarray | None:
+        return None if name is None else column(name).fill_null(False).to_numpy(zero_copy_only=False)
 
     starts, nbrs = flat("nbrs")
-    dense_starts, dense_nbrs = flat("dense_nbrs") if "dense_nbrs" in pdf else (None, None)
-    return Graph(ids, starts, nbrs, np.array(pdf["vector"].tolist(), float), None if codes is None else np.array(pdf["codes"].tolist(), np.int64), pivots, *(None if c is None else pdf[c].fillna(False).to_numpy(bool) for c in (member, maybe)), dense_starts=dense_starts, dense_nbrs=dense_nbrs)
+    dense_starts, dense_nbrs = flat("dense_nbrs") if "dense_nbrs" in held.column_names else (None, None)
+    return Graph(ids, starts, nbrs, matrix(column("vector")), None if codes is None else matrix(column("codes")).astype(np.int64), pivots, marked(member), marked(maybe), dense_starts=dense_starts, dense_nbrs=dense_nbrs)
 
 
 def walk(graph: Graph, query: np.ndarray, entry: int, config: SearchConfig, admit_only_members: bool = False) -> tuple[list[tuple[float, int]], dict]:

@@ -96,7 +96,7 @@ def _round_trip(spark: SparkSession, d: str, kind: str, column=None) -> DataFram
     path = new_path(spark, kind)
     rows = base_of(spark, d).select("id", "vector")
     rows = rows.withColumn("vector", column(F.col("vector"))) if column else rows
-    files.write_vectors(rows, path, kind, parts=1 if kind == "bin" else None)
+    files.write_vectors(rows, path, kind)
     return _exploded(files.read_vectors(spark, path, kind))
 
 

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodestar.runtime import ship
+from lodestar.functions.distance import matrix
+from lodestar.runtime import ship, task_count
 
 RANGE_BYTES = 32 << 20
 _ITEM = {"fvecs": ("<f4", 4, 4), "bvecs": ("u1", 4, 1), "bin": ("<f4", 0, 4)}  # type, head of each row, bytes of a component
@@ -133,9 +134,9 @@ def write_vectors(vectors: DataFrame, path: str, kind: str, parts: int | None =
     item, head, _ = _ITEM[kind]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for b in batches for x in b.column(0).to_pylist()]
-        if rows:
-            data = np.array(rows, np.float64)
+        held = [matrix(b.column(0)) for b in batches if b.num_rows]
+        if held:
+            data = np.concatenate(held)
             if kind == "bvecs" and ((data < 0) | (data > 255) | (data != np.floor(data))).any():
                 raise ValueError("a component is no byte")
             body = np.ascontiguousarray(data.astype(item)).view(np.uint8).reshape(len(data), -1)
@@ -151,10 +152,10 @@ def write_vectors(vectors: DataFrame, path: str, kind: str, parts: int | None =
                     out.write(struct.pack("<II", *data.shape))
                 out.write(body.tobytes())
             system.move(temporary, f"{inner}/part-{number:06d}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, held))], pa.int64())], ["n"])
 
-    n = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = vectors.repartitionByRange(n, "id").sortWithinPartitions("id").select("vector")
+    n = parts or task_count(vectors)
+    ordered = vectors.repartitionByRange(n, "id").sortWithinPartitions("id").select(F.col("vector").cast("array<double>"))
     ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
