@@ -176,8 +176,8 @@ def search(vectors: DataFrame, query: Column, k: int = 10, vec_id: str = "vec_id
     every = every.filter(F.size("v") == dim)
     sample = every.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
     hashing = fit(np.array(sample["v"].tolist()), n, k)
-    # several parts for each task, which hash partitioning deals out evenly
-    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TABLES // ROWS_PER_PART))
+    # every part gives k rows for a query that visits it: no more parts than tasks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * TABLES // ROWS_PER_PART))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
