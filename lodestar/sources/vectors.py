@@ -170,22 +170,21 @@ def read_text(spark: SparkSession, path: str, number: str = "float") -> DataFram
     numbers = F.transform(words, lambda w: w.try_cast(number))
     stop = F.array_position(F.transform(numbers, lambda x: x.isNull().cast("int")), 1)
     kept = F.when(stop > 0, F.slice(numbers, 1, (stop - 1).cast("int"))).otherwise(numbers)
-    lines = spark.read.text(path).select(kept.alias("vector"), F.monotonically_increasing_id().alias("line"))
+    # Spark deals files to its tasks by size: only a file's name and where a range of it begins tell the order
+    where = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    lines = spark.read.text(path).select(kept.alias("vector"), *where, F.monotonically_increasing_id().alias("line"))
     rows = lines.filter(F.size("vector") > 0)
     shape = rows.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
     if not shape[0]:
         raise ValueError(f"{path} has no vectors")
     if shape[1] != shape[2]:
         raise ValueError(f"{path} has vectors of several dimensions")
-    # one small count for each partition gives positions without a sort in one task
-    parted = rows.withColumn("part", F.shiftright("line", 33))
-    counts = {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}
-    base, before = {}, 0
-    for part in sorted(counts):
-        base[part], before = before, before + counts[part]
-    start = F.element_at(F.create_map(*[x for p, b in base.items() for x in (F.lit(p).cast("long"), F.lit(b).cast("long"))]), F.col("part"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("line")) - 1
-    return parted.select((start + place).alias("id"), "vector")
+    # one small count for each range gives positions without a sort in one task
+    counts = sorted(tuple(r) for r in rows.groupBy("file", "begin").count().collect())
+    before = np.cumsum([0, *(n for _, _, n in counts)]).tolist()
+    starts = spark.createDataFrame([(f, b, s) for (f, b, _), s in zip(counts, before, strict=False)], "file string, begin long, start long")
+    place = F.row_number().over(Window.partitionBy("file", "begin").orderBy("line")) - 1
+    return rows.withColumn("place", place).join(F.broadcast(starts), ["file", "begin"]).select((F.col("start") + F.col("place")).alias("id"), "vector")
 
 
 def write_text(vectors: DataFrame, path: str) -> None:

@@ -313,6 +313,21 @@ def test_loaders(spark, tmp_path, kind):
     assert [r["vector"] for r in files.read_vectors(spark, path, kind).orderBy("id").collect()] == [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]
 
 
+def test_text_parts_of_unequal_size(spark, tmp_path):
+    """Ids follow the parts' names, though Spark reads the largest first."""
+    (tmp_path / "text").mkdir()
+    for part, (low, high) in enumerate([(0, 3), (3, 200), (200, 210), (210, 600)]):
+        (tmp_path / f"text/part-{part}.txt").write_text("".join(f"{i} 0.5\n" for i in range(low, high)))
+    rows = files.read_text(spark, str(tmp_path / "text")).collect()
+    assert sorted((r["id"], r["vector"][0]) for r in rows) == [(i, float(i)) for i in range(600)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # ranges of files
+    try:
+        rows = files.read_text(spark, str(tmp_path / "text")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["id"], r["vector"][0]) for r in rows) == [(i, float(i)) for i in range(600)]
+
+
 def test_broken_files_refused(spark, tmp_path):
     (tmp_path / "ragged.txt").write_text("1 2\n3\n")
     (tmp_path / "empty.txt").write_text("\n")
