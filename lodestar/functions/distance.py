@@ -37,6 +37,8 @@ def block_l2(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Squared distances, queries x base rows."""
     if queries.shape[1] != base.shape[1]:
         raise ValueError("vectors differ in dimension")
+    if len(queries) == 1 and base.shape[1]:
+        return row_l2(queries, base)[None]
     total = np.zeros((len(queries), len(base)))
     for d in range(base.shape[1]):
         gap = queries[:, d][:, None] - base[:, d][None]
@@ -45,6 +47,13 @@ def block_l2(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     return total
 
 
+def row_l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to rows beside them (or of one row to all)."""
+    gap = a - b
+    gap *= gap
+    return np.add.accumulate(gap, axis=1)[:, -1]
+
+
 def adc_table(query: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """chunks x centroids: squared distance of each chunk of a query to each centroid of that chunk."""
     chunks, centroids, width = pivots.shape
