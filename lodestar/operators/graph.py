@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.distance import block_l2
-from lodestar.operators.exact import matrix, nearest, query_blocks
-from lodestar.runtime import one_by_one, saved, ship
+from lodestar.operators.exact import matrix, nearest
+from lodestar.runtime import saved, ship
+
+
+#: Components of candidates that are pruned at once.
+PRUNED_VALUES = 1 << 21
 
 
 def knn_graph(base: DataFrame, degree: int, dense: int = 0) -> DataFrame:
@@ -66,25 +71,42 @@ def validate(graph: DataFrame, points: int, degree: int, dense_degree: int = 0)
 def medoid(base: DataFrame) -> DataFrame:
     """``id, total``: the node with the smallest summed distance to all others, equal ones by id.
 
-    Exact: every block of nodes passes every task once, and each task sums the
-    distances to its own rows.
+    A node's sum over all ``b`` is ``n |a - m|^2 - 2 (a - m) s + q`` with the mean ``m`` and
+    ``s`` and ``q`` the sums of ``b - m`` and ``|b - m|^2``: two passes over the
+    rows give these, a third each node's sum.
     """
-    ship(base.sparkSession)
-    rows = base.select(F.col("vector").cast("array<double>"))
+    spark = base.sparkSession
+    ship(spark)
+    rows = base.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
 
-    def summed(ids: np.ndarray, block: np.ndarray):
+    def moments(mean: np.ndarray | float) -> tuple[int, np.ndarray, float]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(ids))
+            n, total, square = 0, None, 0.0
             for batch in batches:
                 if batch.num_rows:
-                    total += block_l2(block, matrix(batch.column(0))).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "part"])
+                    off = matrix(batch.column(0)) - mean
+                    if total is not None and len(total) != off.shape[1]:
+                        raise ValueError("vectors differ in dimension")
+                    n, total, square = n + len(off), off.sum(0) + (0 if total is None else total), square + float((off * off).sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([square])], ["n", "s", "q"])
 
-        return run
+        parts = rows.select("vector").mapInArrow(run, "n long, s array<double>, q double").collect()
+        if len({len(r["s"]) for r in parts}) > 1:
+            raise ValueError("vectors differ in dimension")
+        return sum(r["n"] for r in parts), np.array([r["s"] for r in parts], float).sum(0), math.fsum(r["q"] for r in parts)
 
-    count, blocks = query_blocks(base.select(F.col("id").alias("qid"), "vector"))
-    sums = (rows.mapInArrow(summed(ids, block), "id long, part double").groupBy("id").agg(F.round(F.sum("part"), 6).alias("total")) for ids, block in blocks)
-    return one_by_one(base.sparkSession, sums, count, "id long, total double", "medoid").orderBy("total", "id").limit(1)
+    n, total, _ = moments(0.0)
+    mean = total / max(n, 1)
+    n, total, square = moments(mean)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                off = matrix(batch.column(1)) - mean
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n * (off * off).sum(1) - 2 * (off * total).sum(1) + square)], ["id", "total"])
+
+    return rows.mapInArrow(summed, "id long, total double").select("id", F.round("total", 6).alias("total")).orderBy("total", "id").limit(1)
 
 
 def bfs_levels(graph: DataFrame, entry: int, most: int | None = None) -> DataFrame:
@@ -117,23 +139,54 @@ def alpha_prune(base: DataFrame, candidates: DataFrame, degree: int, alpha: floa
     """
     ship(base.sparkSession)
     wanted = candidates.select("id", F.explode("nbrs").alias("n")).filter("id <> n")
-    v = base.select(F.col("id").alias("n"), F.col("vector").alias("nv"))
-    own = base.select("id", "vector")
-    rows = wanted.join(v, "n").join(own, "id")
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["n"].to_numpy(), np.array(pdf["nv"].tolist(), float)
-        d = block_l2(np.array([pdf["vector"].iloc[0]], float), x)[0]
-        order, kept = list(np.lexsort((ids, d))), []
-        while order and len(kept) < degree:
-            best = order.pop(0)
-            kept.append(int(ids[best]))
-            if order:
-                near = block_l2(x[[best]], x[order])[0]
-                order = [i for i, apart in zip(order, near, strict=True) if alpha * apart > d[i]]
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "nbrs": [kept]})
-
-    return rows.groupBy("id").applyInPandas(prune, "id long, nbrs array<long>")
+    v = base.select(F.col("id").alias("n"), F.col("vector").cast("array<double>").alias("nv"))
+    own = base.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    # columns apart: lists of structs would be copied value by value
+    near = wanted.join(v, "n").groupBy("id").agg(F.collect_list(F.struct("n", "nv")).alias("near"))
+    rows = near.join(own, "id").select("id", "vector", F.col("near.n").alias("ns"), F.flatten("near.nv").alias("nvs"))
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, counts, x = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy(), matrix(batch.column(1))
+            flat = batch.column(3).flatten().to_numpy()
+            if len(flat) != len(ids) * x.shape[1]:
+                raise ValueError("vectors differ in dimension")
+            at, flat = np.cumsum(counts) - counts, flat.reshape(-1, x.shape[1])
+            order, kept = np.argsort(counts, kind="stable"), [None] * len(x)
+            while len(order):  # nodes of about as many candidates together
+                some = order[: max(1, PRUNED_VALUES // max(1, counts[order[0]] * x.shape[1]))]
+                some = some[counts[some] <= 2 * counts[some[0]]]
+                order = order[len(some) :]
+                for i, nbrs in zip(some.tolist(), pruned(x[some], ids, flat, at[some], counts[some], degree, alpha), strict=True):
+                    kept[i] = nbrs
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int64()))], ["id", "nbrs"])
+
+    return rows.mapInArrow(prune, "id long, nbrs array<long>")
+
+
+def pruned(own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, at: np.ndarray, counts: np.ndarray, degree: int, alpha: float) -> list[list[int]]:
+    """The kept ids of each node: node i's candidates are ``counts[i]`` of ``ids`` and ``vectors`` from ``at[i]``."""
+    slot = np.arange(counts.max())[None]
+    live = slot < counts[:, None]
+    place = np.where(live, at[:, None] + slot, at[:, None])
+    names, x = ids[place], vectors[place]
+    apart = lambda one: np.add.accumulate((x - one[:, None]) ** 2, axis=2)[:, :, -1]
+    d = apart(own)
+    d[~live] = np.inf
+    every, kept = np.arange(len(own)), [[] for _ in own]
+    order = np.lexsort((names, d), axis=1)  # the first live one is next
+    for _ in range(degree):
+        if not live.any():
+            break
+        turn = np.take_along_axis(live, order, 1).argmax(1)
+        best = order[every, turn]
+        for i in np.flatnonzero(live[every, best]).tolist():
+            kept[i].append(int(names[i, best[i]]))
+        live &= alpha * apart(x[every, best]) > d
+        live[every, best] = False
+    return kept
 
 
 def pruned_graph(base: DataFrame, degree: int, pool: int, alpha: float = 1.2, candidates: DataFrame | None = None, most: int = 0) -> DataFrame:
