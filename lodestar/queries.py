@@ -423,9 +423,12 @@ def ground_truth_topk(spark, d):
     return exact.nearest(base_of(spark, d), queries_of(spark, d), K)
 
 
+def _linked(spark, d, member=None):
+    return saved(graph.with_reverse(_graph(spark, d, 16, 32 if member else 0)), "walkable")
+
+
 def _walkable(spark, d, member=None):
-    base = base_of(spark, d)
-    g = saved(graph.with_reverse(_graph(spark, d, 16, 32 if member else 0)), "walkable")
+    base, g = base_of(spark, d), _linked(spark, d, member)
     rows = base.withColumn("member", F.col("label").isin(LABELS)) if member else base
     return base, g, beam.load(g, rows, member="member" if member else None)
 
@@ -454,7 +457,7 @@ def beam_search(spark, d):
 @query(f"{TOP} {TOP_ROWS}")
 def frontier_search(spark, d):
     """The join-based walk for graphs beyond one worker, exhaustive here."""
-    base, g, _ = _walkable(spark, d)
+    base, g = base_of(spark, d), _linked(spark, d)
     n = base.count()
     return beam.frontier_search(g, base, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=n, beam_width=n))
 
@@ -498,7 +501,7 @@ BLOCK_ROWS = 16
 @query(FILTERED)
 def filter_in_approximate(spark, d):
     """Filter within an exhaustive walk that admits by an approximate check and verifies in the end."""
-    base, g, _ = _walkable(spark, d, member=True)
+    base, g = base_of(spark, d), _linked(spark, d, member=True)
     flat = beam.load(g, base.withColumns({"member": SELECTOR.predicate(), "maybe": SELECTOR.approximate()}), member="member", maybe="maybe")
     return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count()), in_filter=True).select(*_FOUND)
 

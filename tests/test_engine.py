@@ -86,6 +86,79 @@ def test_many_query_blocks(spark, monkeypatch):
     assert exact.nearest(base, wanted.limit(0), 5).count() == 0
 
 
+def test_screened_search_equals_all_distances():
+    """Copies, offsets far from zero, wide ranges, own rows and non-finite values: the first k of all distances, to the last bit."""
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(700, 6))
+    near[100:400] = near[7]
+    odd = near.copy()
+    odd[5, 2], odd[9, 0] = np.nan, np.inf
+    for base in (near, near * 1e-3 + 1e6, near * 10.0 ** rng.integers(-8, 9, (700, 1)), odd):
+        ids, asked = rng.permutation(700), base[::9]
+        for k, within, skip in ((1, None, False), (16, None, True), (16, 2.0, False), (128, None, True)):
+            best = exact.Nearest(ids[::9], asked, k, within, skip)
+            for i in range(0, 700, 290):
+                best.add(ids[i : i + 290], base[i : i + 290])
+            qid, rank, found, far = best.rows(0, len(asked))
+            want = []
+            for q, row in zip(ids[::9], block_l2(asked, base), strict=True):
+                live = np.flatnonzero((row <= within if within is not None else np.ones(700, bool)) & ((ids != q) | (not skip)))
+                order = live[np.lexsort((ids[live], row[live]))][:k]
+                want += [(q, r + 1, ids[a], row[a].tobytes()) for r, a in enumerate(order)]
+            assert [(*x, f.tobytes()) for *x, f in zip(qid, rank, found, far, strict=True)] == want
+
+
+def test_medoid_far_from_zero(spark):
+    """Sums of all distances, also where the rows' common offset is far larger than their spread."""
+    x = np.random.default_rng(3).normal(size=(300, 5)) + 1e5
+    x[40] = x[41] = x.mean(0)
+    row = graph.medoid(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).first()
+    assert row["id"] == 40 and math.isclose(row["total"], block_l2(x, x).sum(1)[40], abs_tol=2e-6)
+    flat = np.zeros((50_000, 8))
+    flat[:, 0] = np.arange(50_000)  # the square of so many rows takes minutes
+    made = spark.range(50_000).select("id", F.array(F.col("id").cast("double"), *[F.lit(0.0)] * 7).alias("vector"))
+    assert graph.medoid(made).first()["id"] == 24_999
+
+
+def test_pruning_of_many_nodes_at_once():
+    """The same ids as node by node, with unequal numbers of candidates, copies and ties."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    counts = rng.integers(1, 40, 25)
+    ids = np.concatenate([rng.permutation(60)[:n] for n in counts])
+    at = np.cumsum(counts) - counts
+    got = graph.pruned(x[:25], ids, x[ids], at, counts, 6, 1.2)
+    for i in range(25):
+        own = ids[at[i] : at[i] + counts[i]]
+        d = block_l2(x[[i]], x[own])[0]
+        order, kept = list(np.lexsort((own, d))), []
+        while order and len(kept) < 6:
+            best = order.pop(0)
+            kept.append(int(own[best]))
+            order = [j for j in order if 1.2 * ((x[own[best]] - x[own[j]]) ** 2).cumsum()[-1] > d[j]]
+        assert got[i] == kept
+
+
+@pytest.mark.parametrize("in_filter", [False, True])
+def test_endless_walk_counts_as_a_walk(spark, in_filter):
+    """Rows and counters of walks node by node, where parts of the graph are out of reach."""
+    rng = np.random.default_rng(5)
+    n = 120
+    rows = [(i, rng.normal(size=4).tolist(), i % 3 == 0, [int(x) for x in rng.integers(0, 90, 2)], [int(x) for x in rng.integers(0, n, 3)]) for i in range(n)]
+    base = spark.createDataFrame([r[:3] for r in rows], "id long, vector array<double>, member boolean")
+    links = spark.createDataFrame([(r[0], r[3], r[4]) for r in rows], "id long, nbrs array<long>, dense_nbrs array<long>")
+    flat = beam.replace(beam.load(links, base, member="member"), page=np.arange(n) // 7, cached=np.arange(n) % 5 == 0)
+    config = cfg.SearchConfig(top_k=5, l_search=n)
+    assert beam._endless(flat, config)
+    got = sorted(map(tuple, beam.search(flat, asked(spark, *[r[1] for r in rows[:9]]), 3, config, in_filter=in_filter).collect()))
+    want, sizes = [], set()
+    for q in range(9):
+        found, stats = beam.walk(flat, np.array(rows[q][1]), 3, config, in_filter)
+        want += [(q, r + 1, int(flat.ids[a]), d, *stats.values()) for r, (d, a) in enumerate(found[:5])]
+        sizes.add(stats["n_hops"])
+    assert got == want and max(sizes) < n
+
+
 def test_frontier_equals_exact(spark, toy):
     base, g = toy
     q = asked(spark, [0.95, 0.15, 0], [-1, 0, 0.6])
