@@ -19,11 +19,14 @@ Documents with equal shingle sets form a *class*; only classes are joined.
    whose classes these links don't connect.
 5. Large tiles that hold more than one component by then are cut into blocks,
    each within two neighbouring bands of sizes; signatures screen the pairs of
-   different components there, and what passes is intersected as before.
+   different components there.  Of each class outside of a tile's largest
+   component the pair that they rate best is intersected as before.  Tiles
+   that are mixed even then get the members of the classes that have pairs
+   left, intersect these where they lie, and give a forest of links.
 6. Connected components of the links, on each class's smallest id.
 
 Pairs that links already connect are left out; no other pair is, and no group
-is capped.  What is intersected follows the classes, not the pairs of a group.
+is capped.  What is written of a large tile follows the classes, not the pairs of a group.
 Equality of shingles is equality of 64-bit hashes; of classes, of 128 bits.
 """
 
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.components import roots
+from lodestar.llm.components import Forest, roots
 from lodestar.llm.slots import flags_over, id_filter, in_filter, partial_rows
 from lodestar.llm.textkit import _STEP, _U, _mix, chunks, shingle_hashes, sorted_sets, string_buffers
 from lodestar.runtime import discard, saved, ship, size_of, task_count, tidy
@@ -450,6 +453,12 @@ def _mixed(rows: DataFrame, name: str) -> DataFrame:
 
 def bounded_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, columns) of first x second whose labels differ and whose sizes and signatures allow a link."""
+    for x, y, _ in _rated_pairs(bits, n, label, first, second, percent):
+        yield x, y
+
+
+def _rated_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``bounded_pairs``, and the similarity that the signatures allow each pair at most."""
     first, second = first[np.argsort(n[first], kind="stable")], second[np.argsort(n[second], kind="stable")]
     words, i = np.array([len(x) for x in bits]), 0
     while i < len(first):
@@ -466,9 +475,10 @@ def bounded_pairs(bits: list[np.ndarray], n: np.ndarray, label: np.ndarray, firs
             for w in range(size):
                 differ += np.bitwise_count(left[:, w][:, None] ^ right[:, w][None])
             both = n[own][:, None] + n[other][None]
-            fit = ((both - differ) // 2 >= least_overlap(n[own][:, None], n[other][None], percent)) & (label[own][:, None] != label[other][None])
+            most = (both - differ) // 2
+            fit = (most >= least_overlap(n[own][:, None], n[other][None], percent)) & (label[own][:, None] != label[other][None])
             x, y = np.nonzero(fit)
-            yield own[x], other[y]
+            yield own[x], other[y], most[x, y] / (both[x, y] - most[x, y])
 
 
 def _sides(sides: np.ndarray, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -481,31 +491,113 @@ def _sides(sides: np.ndarray, label: np.ndarray) -> list[tuple[np.ndarray, np.nd
     return [(np.flatnonzero(first & outside), np.flatnonzero(second)), (np.flatnonzero(first & ~outside), np.flatnonzero(second & outside))]
 
 
-def _pairs_across(large: DataFrame, labels: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of one large tile, but of different components, that their signatures allow to link."""
+def _once(tiles: DataFrame) -> DataFrame:
+    """The tiles of a saved table without those of the same rows as another: their pairs are the same."""
+    kind = tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("cls", "side").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("side", "cls")).alias("y"))
+    out = saved(tiles.join(kind.groupBy("rows", "x", "y").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi"), "tiles")
+    discard(tiles)
+    return out
+
+
+def _mixed_tiles(large: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Blocks of large tiles that hold several components, each set of rows once."""
     own = labels.select(F.col("vertex").alias("rep"), F.col("component").alias("label"))
-    rows = large.join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    tiles = saved(_mixed(_blocks_of_tiles(_mixed(rows, "token"), percent), "tile"), "tiles")
+    rows = saved(large.join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled-tiles")
+    mixed = saved(_mixed(rows, "token"), "mixed-tiles")
+    blocks = saved(_blocks_of_tiles(mixed, percent), "tile-blocks")
+    tiles = _once(saved(_mixed(blocks, "tile"), "tiles"))
+    discard(rows, mixed, blocks)
+    return tiles
+
+
+_TILE = ("tile", "side", "cls", "rep", "n", "label")
+_TILE_SCHEMA = "tile string, side int, cls binary, rep long, n long, label long"
+
+
+def _held(held: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(held[c].to_numpy() for c in ("side", "cls", "rep", "n", "label"))
+
+
+def _with(tiles: DataFrame, features: DataFrame, name: str) -> DataFrame:
+    # small on disk, where repeated keys cost little, this table is large in memory: no broadcasts
+    return tiles.join(features.select("cls", name).hint("merge"), "cls").select(*_TILE, name)
+
+
+def _pairs_across(tiles: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """For each class outside of its tile's largest component, the pair of different components that the signatures rate best."""
 
     def screen(key: tuple, held: pa.Table) -> pa.Table:
-        keys, rep, n, label = (held[c].to_numpy() for c in ("cls", "rep", "n", "label"))
+        side, keys, rep, n, label = _held(held)
         bits = [np.frombuffer(x, _U) for x in held["bits"].to_pylist()]
-        found = {}
-        for first, second in _sides(held["side"].to_numpy(), label):
-            for x, y in bounded_pairs(bits, n, label, first, second, percent):
-                for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                    i, j = (i, j) if keys[i] < keys[j] else (j, i)
-                    found[keys[i], keys[j]] = (keys[i], keys[j], rep[i], rep[j])
-        columns = list(zip(*found.values(), strict=True)) or [()] * 4
+        partner, rate = np.full(len(keys), -1), np.full(len(keys), -1.0)
+        names, codes = np.unique(label, return_inverse=True)
+        outside = codes != np.bincount(codes).argmax()
+        for first, second in _sides(side, label):
+            for x, y, found in _rated_pairs(bits, n, label, first, second, percent):
+                order = np.argsort(found, kind="stable")  # the last of a row that is assigned is its best
+                for one, two in ((x[order], y[order]), (y[order], x[order])):
+                    best = found[order]
+                    better = outside[one] & (best > rate[one])
+                    partner[one[better]], rate[one[better]] = two[better], best[better]
+        pairs = {(i, j) if keys[i] < keys[j] else (j, i) for i, j in enumerate(partner.tolist()) if j >= 0}
+        columns = list(zip(*((keys[i], keys[j], rep[i], rep[j]) for i, j in pairs), strict=True)) or [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], _PAIR)
 
-    # small on disk, where repeated keys cost little, this table is large in memory: no broadcasts
-    marked = tiles.join(features.select("cls", "bits").hint("merge"), "cls").select("tile", "side", "cls", "rep", "n", "label", "bits")
-    out = saved(marked.groupBy("tile").applyInArrow(screen, _PAIR_SCHEMA).distinct(), "pairs-across")
-    discard(tiles)
+    return saved(_with(tiles, features, "bits").groupBy("tile").applyInArrow(screen, _PAIR_SCHEMA).distinct(), "pairs-across")
+
+
+def _links_within(tiles: DataFrame, features: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that connect what the tiles' classes of different components connect."""
+
+    def screen(key: tuple, held: pa.Table) -> pa.Table:
+        side, _, _, n, label = _held(held)
+        bits = [np.frombuffer(x, _U) for x in held["bits"].to_pylist()]
+        met = np.zeros(len(n), bool)
+        for first, second in _sides(side, label):
+            for x, y in bounded_pairs(bits, n, label, first, second, percent):
+                met[x] = met[y] = True
+        return held.select(_TILE).filter(pa.array(met))
+
+    def link(key: tuple, held: pa.Table) -> pa.Table:
+        side, _, rep, n, label = _held(held)
+        sets = [np.frombuffer(x, _U) for x in held["members"].to_pylist()]
+        bits = [bitmap(x) for x in sets]
+        names, codes = np.unique(label, return_inverse=True)
+        forest, now, found = Forest(len(names)), np.arange(len(names)), []
+        for first, second in _sides(side, label):
+            for x, y, rate in _rated_pairs(bits, n, label, first, second, percent):
+                apart = now[codes[x]] != now[codes[y]]
+                x, y, rate = x[apart], y[apart], rate[apart]
+                order = np.argsort(-rate, kind="stable")
+                for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                    a, b = int(codes[i]), int(codes[j])
+                    if forest.root(a) != forest.root(b) and shared_members(sets[i], sets[j]) >= int(least_overlap(len(sets[i]), len(sets[j]), percent)):
+                        forest.join(a, b)
+                        found.append((rep[i], rep[j]))
+                now = np.array([forest.root(i) for i in range(len(names))])
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    left = _once(saved(_with(tiles, features, "bits").groupBy("tile").applyInArrow(screen, _TILE_SCHEMA), "tiles-left"))
+    out = saved(_with(left, members, "members").groupBy("tile").applyInArrow(link, "a long, b long").distinct(), "links")
+    discard(left)
     return out
 
 
+def _edges_across(large: DataFrame, edges: DataFrame, features: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``edges``, and links among classes of large tiles that connect all that their links connect."""
+    tiles = _mixed_tiles(large, roots(edges), percent)
+    across = _pairs_across(tiles, features, percent)
+    discard(tiles)
+    edges = edges.unionByName(_edges(_links(across, members, percent)))
+    discard(across)
+    tiles = _mixed_tiles(large, roots(edges), percent)
+    if tiles.limit(1).count():
+        edges = edges.unionByName(_links_within(tiles, features, members, percent))
+    discard(tiles)
+    return edges
+
+
 def _shared_ids(own: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges between the smallest id of a class and its ids that other classes have, too."""
     several = own.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("doc_id")
@@ -550,9 +642,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     edges = _edges(_links(close, members, percent))
     discard(close, wanted)
     if large.limit(1).count():
-        across = _pairs_across(large, roots(edges), features, percent)
-        edges = edges.unionByName(_edges(_links(across, members, percent)))
-        discard(across)
+        edges = _edges_across(large, edges, features, members, percent)
     edges = edges.unionByName(_shared_ids(named, classes))
     placed = classes.join(roots(edges), F.col("rep") == F.col("vertex"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     placed = saved(placed, "placed-classes")

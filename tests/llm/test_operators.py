@@ -783,6 +783,24 @@ def test_pairs_within_bounds_lose_no_link():
         assert len(want) > 50 and want <= found and len(found) < len(sets) ** 2 / 3
 
 
+def test_tiles_write_less_than_pairs(spark, monkeypatch):
+    """Two families of one tile that no link joins yet: written are rows by class, and links that make a forest."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 1500)
+    rng = np.random.default_rng(9)
+    heart = np.arange(1, 10, dtype=np.uint64) << np.uint64(50)
+    sets = [np.unique(np.concatenate([heart, rng.integers(1, 2**63, 1, dtype=np.uint64)])) for _ in range(120)]
+    own = [(b"%016d" % i, i, 10, i // 60, ngramjoin.bitmap(x).tobytes(), x.tobytes()) for i, x in enumerate(sets)]
+    features = spark.createDataFrame([(k, n, b) for k, _, n, _, b, _ in own], "cls binary, n long, bits binary")
+    members = spark.createDataFrame([(k, n, m) for k, _, n, _, _, m in own], "cls binary, n long, members binary")
+    large = spark.createDataFrame([(t, k, n, i) for k, i, n, _, _, _ in own for t in (1, 2, 3)], "token long, cls binary, n long, rep long")
+    labels = spark.createDataFrame([(i, 60 * f) for _, i, _, f, _, _ in own if i % 60], "vertex long, component long")
+    tiles = ngramjoin._mixed_tiles(large, labels, 80)
+    held = tiles.count()
+    assert held == 120  # three tokens of the same classes are one tile
+    assert 0 < ngramjoin._pairs_across(tiles, features, 80).count() <= 60  # of 3,600 pairs
+    assert ngramjoin._links_within(tiles, features, members, 80).count() == 1
+
+
 def test_exactly_at_the_threshold(spark):
     """4 of 5 shingles shared links; 7 of 9 doesn't."""
     w = [f"w{i}" for i in range(20)]
