@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.distance import block_l2
-from lodestar.operators.exact import matrix, nearest
+from lodestar.operators.exact import matrix, nearest, nearest_lists
 from lodestar.runtime import saved, ship
 
 
@@ -25,10 +25,9 @@ def knn_graph(base: DataFrame, degree: int, dense: int = 0) -> DataFrame:
 
     Those behind the first ``degree``, up to ``dense`` in all, are dense neighbours.
     """
-    found = nearest(base, base.select(F.col("id").alias("qid"), "vector"), max(degree, dense), skip_self=True)
-    lists = found.groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("n")))).alias("x"))
-    every = F.transform("x", lambda x: x["n"])
-    return lists.select("id", F.slice(every, 1, degree).alias("nbrs"), F.slice(every, degree + 1, max(0, dense - degree)).alias("dense_nbrs"))
+    found = nearest_lists(base, base.select(F.col("id").alias("qid"), "vector"), max(degree, dense), skip_self=True)
+    every = F.transform("near", lambda x: x["id"])
+    return found.select(F.col("qid").alias("id"), F.slice(every, 1, degree).alias("nbrs"), F.slice(every, degree + 1, max(0, dense - degree)).alias("dense_nbrs"))
 
 
 def edges(graph: DataFrame, column: str = "nbrs") -> DataFrame:

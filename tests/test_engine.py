@@ -108,6 +108,48 @@ def test_screened_search_equals_all_distances():
             assert [(*x, f.tobytes()) for *x, f in zip(qid, rank, found, far, strict=True)] == want
 
 
+def test_queries_dealt_out(spark, monkeypatch):
+    """Many queries and few rows: each task has its queries' k first, and no hits of single tasks are ranked; several blocks of rows, copies and a limit are the same to the last bit."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    x[50:90] = x[7]
+    base = frame(spark, [(int(i), v.tolist()) for i, v in zip(rng.permutation(300), x, strict=True)]).cache()
+    wanted = base.select(F.col("id").alias("qid"), "vector")
+    key = lambda df: sorted((r["qid"], r["rank"], r["id"], r["distance"].hex()) for r in df.collect())
+    settings = [{"k": 5, "skip_self": True}, {"k": 20, "within": 2.5}]
+    few = [key(exact.nearest(base, wanted, **s)) for s in settings]
+    links = {r["id"]: (r["nbrs"], r["dense_nbrs"]) for r in graph.knn_graph(base, 4, 9).collect()}
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 1 << 12)
+    with monkeypatch.context() as m:
+        m.delattr(exact, "ranked")
+        assert key(exact.nearest(base, wanted, **settings[0])) == few[0]
+    for size in (1 << 20, 1 << 13, 1 << 10):  # one block of rows, some, and more than of queries
+        monkeypatch.setattr(exact, "ROWS_BYTES", size, raising=False)
+        assert [key(exact.nearest(base, wanted, **s)) for s in settings] == few
+        assert {r["id"]: (r["nbrs"], r["dense_nbrs"]) for r in graph.knn_graph(base, 4, 9).collect()} == links
+    assert exact.nearest(base.limit(0), wanted, 5).count() == 0
+    with pytest.raises(Exception, match="differ in dimension"):
+        exact.nearest(base.withColumn("vector", F.slice("vector", 1, 5)), wanted, 5).count()
+
+
+def test_screen_beyond_single_precision():
+    """Norms that single precision can't hold, tiny ones, non-finite rows among the first, and rows by the thousand: the first k of all distances."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 3))
+    odd = x.copy()
+    odd[:40, 1], odd[60, 0] = np.inf, np.nan
+    for base in (x, x * 1e25, x * 1e-25, x * 1e160, np.round(x), odd, x + 1e4):
+        ids, asked = rng.permutation(5000), base[::250]
+        best = exact.Nearest(ids[::250], asked, 9, skip_self=True)
+        best.add(ids, base)
+        with np.errstate(all="ignore"):
+            far = block_l2(asked, base)
+        want = []
+        for q, row in zip(ids[::250], far, strict=True):
+            want += [int(ids[a]) for a in np.lexsort((ids, row)) if ids[a] != q][:9]
+        assert best.rows(0, len(asked))[2].tolist() == want
+
+
 def test_medoid_far_from_zero(spark):
     """Sums of all distances, also where the rows' common offset is far larger than their spread."""
     x = np.random.default_rng(3).normal(size=(300, 5)) + 1e5
