@@ -5,8 +5,10 @@ Refinement edges and quantisation may be absent.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from lodestar.operators import graph as graphs
 from lodestar.operators import layout as layouts
 from lodestar.operators import pq
 from lodestar.plans.config import BuildConfig, DistanceKind
-from lodestar.runtime import exists, stored_bytes
+from lodestar.runtime import exists, ship, stored_bytes
 
 FORMAT = "tables"
 PARTS = ("vectors", "graph", "refine", "layout", "id_to_page", "reorder", "pq_pivots", "pq_codes", "meta")
@@ -63,7 +65,8 @@ def build_index(base: DataFrame, path: str, config: BuildConfig, train: DataFram
 
     ``train(qid, vector)`` are queries that ask for refinement edges, up to
     ``r_ood`` for each node.  Without ``pruned`` the graph is the nearest
-    neighbours and their reverse edges, and has no dense ones.
+    neighbours and their reverse edges, and has no dense ones.  Quantisation needs
+    the vectors only: its jobs run beside those of the graph.
     """
     spark = base.sparkSession
     shape = base.agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
@@ -79,24 +82,31 @@ def build_index(base: DataFrame, path: str, config: BuildConfig, train: DataFram
         return spark.read.parquet(getattr(paths, name))
 
     vectors = kept("vectors", base)
-    refine = None
-    if train is not None and config.r_ood:
-        refine = kept("refine", graphs.refine_edges(vectors, train, config.r_ood, min(config.l_ood, shape[0])))
-    if pruned:
-        made = graphs.production_graph(vectors, config.degree, config.dense, max(config.build_l, config.degree), config.alpha, refine, config.r_ood, config.candidates)
-    else:
-        made = graphs.with_reverse(graphs.knn_graph(vectors, config.degree))
-    graph = kept("graph", made)
-    entry = graphs.entry_point(vectors, config.entry)
-    if config.partition_scale == 0:  # a page for each node, which it begins with
-        layout = kept("layout", layouts.normalize(layouts.replicated_layout(graph, config.page_nodes), vectors.select("id")))
-    else:
-        layout = kept("layout", layouts.ldg_layout(graph, config.page_nodes, config.partition_scale, config.ldg_times))
-    kept("id_to_page", layouts.id_to_page(layout))
-    kept("reorder", layouts.reorder_offsets(layout))
-    pivots, _ = pq.train_centred(vectors, config.pq_subspaces, min(config.pq_centroids, shape[0]), config.pq_iterations)
-    kept("pq_pivots", pq.pivot_frame(spark, pivots))
-    kept("pq_codes", pq.encode(vectors, pivots))
+
+    def quantised() -> None:
+        pivots, _ = pq.train_centred(vectors, config.pq_subspaces, min(config.pq_centroids, shape[0]), config.pq_iterations)
+        kept("pq_pivots", pq.pivot_frame(spark, pivots))
+        kept("pq_codes", pq.encode(vectors, pivots))
+
+    ship(spark)
+    with ThreadPoolExecutor(1) as beside:
+        codes = beside.submit(inheritable_thread_target(spark)(quantised))
+        refine = None
+        if train is not None and config.r_ood:
+            refine = kept("refine", graphs.refine_edges(vectors, train, config.r_ood, min(config.l_ood, shape[0])))
+        if pruned:
+            made = graphs.production_graph(vectors, config.degree, config.dense, max(config.build_l, config.degree), config.alpha, refine, config.r_ood, config.candidates)
+        else:
+            made = graphs.with_reverse(graphs.knn_graph(vectors, config.degree))
+        graph = kept("graph", made)
+        entry = graphs.entry_point(vectors, config.entry)
+        if config.partition_scale == 0:  # a page for each node, which it begins with
+            layout = kept("layout", layouts.normalize(layouts.replicated_layout(graph, config.page_nodes), vectors.select("id")))
+        else:
+            layout = kept("layout", layouts.ldg_layout(graph, config.page_nodes, config.partition_scale, config.ldg_times))
+        kept("id_to_page", layouts.id_to_page(layout))
+        kept("reorder", layouts.reorder_offsets(layout))
+        codes.result()
     kept("meta", spark.createDataFrame([(FORMAT, shape[0], shape[2], entry, config.degree, config.page_nodes)], "format string, points long, dim int, entry long, degree int, page_nodes int"))
     return load_index(spark, path)
 

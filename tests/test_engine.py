@@ -2,6 +2,7 @@
 
 import math
 import shutil
+import threading
 
 import numpy as np
 import pytest
@@ -165,6 +166,24 @@ def test_few_pairs_are_measured(monkeypatch):
         assert best.ids.tolist() == np.argsort(far, axis=1, kind="stable")[:, :k].tolist()
 
 
+def test_index_is_quantised_beside_its_graph(spark, tmp_path, monkeypatch):
+    """Quantisation needs the vectors only and doesn't wait for the graph; what goes wrong in it ends the build."""
+    begun, train, near = threading.Event(), pq.train_centred, graph.knn_graph
+    base = files.toy_vectors(spark, 12)
+    config = cfg.BuildConfig(degree=3, page_nodes=3, pq_subspaces=3, pq_centroids=4, entry=0)
+    monkeypatch.setattr(pq, "train_centred", lambda *a: begun.set() or train(*a))
+    monkeypatch.setattr(graph, "knn_graph", lambda *a: near(*a) if begun.wait(20) else pytest.fail("the graph came first"))
+    made = build_index(base, str(tmp_path / "index"), config, pruned=False)
+    assert made.pq_codes.count() == 12 and made.layout.filter("slot = 0 AND page_id = node_id").count() == 12
+
+    def broken(*a):
+        raise ValueError("no pivots today")
+
+    monkeypatch.setattr(pq, "train_centred", lambda *a: begun.set() or broken())
+    with pytest.raises(ValueError, match="no pivots today"):
+        build_index(base, str(tmp_path / "other"), config, pruned=False)
+
+
 def test_medoid_far_from_zero(spark):
     """Sums of all distances, also where the rows' common offset is far larger than their spread."""
     x = np.random.default_rng(3).normal(size=(300, 5)) + 1e5
