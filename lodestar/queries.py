@@ -147,12 +147,15 @@ def _walks(spark, d):
     return found, found.filter("rank = 1").withColumn("approx_kind", F.concat(F.lit("third "), (F.col("qid") / 50).cast("long") % 3))
 
 
+def _folded(walks):
+    return bench.accumulate(walks, ["approx_kind"], ["n_hops", "n_cmps", "exact_evals", "range_stop"])
+
+
 def _runs(spark, d):
     found, walks = _walks(spark, d)
-    folded = bench.accumulate(walks, ["approx_kind"], ["n_hops", "n_cmps", "exact_evals", "range_stop"])
     recall = exact.recall(found, exact.nearest(base_of(spark, d), queries_of(spark, d), K), K)
     rest = walks.join(recall, "qid").groupBy("approx_kind").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("recall"), 6).alias("average_recall"))
-    return folded.join(rest, "approx_kind")
+    return _folded(walks).join(rest, "approx_kind")
 
 
 @query(f"{RUNS}, 1.0::DOUBLE AS average_recall FROM walks GROUP BY approx_kind")
@@ -628,7 +631,8 @@ def result_ids_string(spark, d):
 @query(f"{RUNS} FROM walks GROUP BY approx_kind")
 def stats_accumulate(spark, d):
     """Counters of walks folded by sum and or."""
-    return _runs(spark, d).drop("average_recall")
+    _, walks = _walks(spark, d)
+    return _folded(walks).join(walks.groupBy("approx_kind").agg(F.count(F.lit(1)).alias("queries")), "approx_kind")
 
 
 @query(f"WITH {WALKS}, {PAIRS}, {_topk('pairs', K)} SELECT (SELECT count(*) FROM walks) AS queries, (SELECT sum(n) FROM walks)::BIGINT AS n_hops, (SELECT sum(n) FROM walks)::BIGINT AS n_cmps, (SELECT sum(n) FROM walks)::BIGINT AS exact_evals, 1.0::DOUBLE AS average_recall, (SELECT string_agg(id::VARCHAR, ',' ORDER BY rank) FROM top WHERE qid = (SELECT min(qid) FROM top)) AS first_query_result_ids")

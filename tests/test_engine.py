@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar import queries
+from lodestar import queries, runtime
 from lodestar.cli import main
 from lodestar.functions.distance import block_l2, l2_squared
 from lodestar.index import build_index, inspect_files, inspect_page, load_index
@@ -17,6 +17,8 @@ from lodestar.plans import config as cfg
 from lodestar.sources import vectors as files
 from lodestar.streaming.queries import answer_stream
 
+from .conftest import SMALL
+
 TEXT = [[1, 0, 0], [0.8, 0.2, 0.1], [0, 1, 0.2], [-0.9, 0, 0.3], [0, -1, 0.4], [0.7, -0.1, 0], [0.6, 0.6, 0.1], [-0.6, 0.7, 0.2], [-0.8, -0.2, 0.3], [-0.2, -0.8, 0.4], [0.5, -0.7, 0.1], [0.9, -0.3, 0]]
 
 
@@ -184,6 +186,25 @@ def test_index_is_quantised_beside_its_graph(spark, tmp_path, monkeypatch):
         build_index(base, str(tmp_path / "other"), config, pruned=False)
 
 
+@pytest.mark.parametrize("name", ["stats_accumulate"])
+def test_summaries_of_larger_graphs(spark, monkeypatch, name):
+    """A graph of many query blocks is built at once from dealt-out queries, not block by block, and the summary is the same."""
+    made, path = [], runtime.new_path
+    key = lambda: sorted(map(repr, queries.QUERIES[name](spark, SMALL).collect()))
+    few = key()
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 1 << 14)
+    for module in (runtime, exact):
+        monkeypatch.setattr(module, "new_path", lambda s, what: made.append(what) or path(s, what))
+    assert key() == few
+    assert "nearest" not in made and made.count("near") == 1
+
+
+def test_counters_need_no_recall(spark, monkeypatch):
+    """Folding counters neither searches the truth nor measures recall, which it doesn't return."""
+    monkeypatch.setattr(exact, "recall", lambda *a: pytest.fail("recall was measured"))
+    assert sum(r["queries"] for r in queries.stats_accumulate(spark, SMALL).collect()) == 10
+
+
 def test_medoid_far_from_zero(spark):
     """Sums of all distances, also where the rows' common offset is far larger than their spread."""
     x = np.random.default_rng(3).normal(size=(300, 5)) + 1e5
