@@ -186,7 +186,7 @@ def test_index_is_quantised_beside_its_graph(spark, tmp_path, monkeypatch):
         build_index(base, str(tmp_path / "other"), config, pruned=False)
 
 
-@pytest.mark.parametrize("name", ["stats_accumulate", "bench_summary", "bench_compare"])
+@pytest.mark.parametrize("name", ["stats_accumulate", "bench_summary", "bench_compare", "bench_tsv_roundtrip"])
 def test_summaries_of_larger_graphs(spark, monkeypatch, name):
     """A graph of many query blocks is built at once from dealt-out queries, not block by block, and the summary is the same."""
     made, path = [], runtime.new_path
