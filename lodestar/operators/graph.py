@@ -20,12 +20,13 @@ from lodestar.runtime import saved, ship
 PRUNED_VALUES = 1 << 21
 
 
-def knn_graph(base: DataFrame, degree: int, dense: int = 0) -> DataFrame:
+def knn_graph(base: DataFrame, degree: int, dense: int = 0, kept: bool = False) -> DataFrame:
     """Exact nearest others of every node by (distance, id): all nodes are the query set, block by block.
 
-    Those behind the first ``degree``, up to ``dense`` in all, are dense neighbours.
+    Those behind the first ``degree``, up to ``dense`` in all, are dense
+    neighbours.  ``kept`` saves what was found, for more than one use.
     """
-    found = nearest_lists(base, base.select(F.col("id").alias("qid"), "vector"), max(degree, dense), skip_self=True)
+    found = nearest_lists(base, max(degree, dense), kept)
     every = F.transform("near", lambda x: x["id"])
     return found.select(F.col("qid").alias("id"), F.slice(every, 1, degree).alias("nbrs"), F.slice(every, degree + 1, max(0, dense - degree)).alias("dense_nbrs"))
 

@@ -252,7 +252,7 @@ def pq_validate(spark, d):
 
 # --- graphs -----------------------------------------------------------------
 def _graph(spark, d, degree=DEGREE, dense=0):
-    return saved(graph.knn_graph(base_of(spark, d), degree, dense), "knn")
+    return graph.knn_graph(base_of(spark, d), degree, dense, kept=True)
 
 
 @query(f"WITH {EDGES} SELECT src, dst, (rank - 1)::INTEGER AS pos FROM E")
@@ -426,22 +426,18 @@ def ground_truth_topk(spark, d):
     return exact.nearest(base_of(spark, d), queries_of(spark, d), K)
 
 
-def _linked(spark, d, member=None):
-    return saved(graph.with_reverse(_graph(spark, d, 16, 32 if member else 0)), "walkable")
-
-
-def _walkable(spark, d, member=None):
-    base, g = base_of(spark, d), _linked(spark, d, member)
-    rows = base.withColumn("member", F.col("label").isin(LABELS)) if member else base
-    return base, g, beam.load(g, rows, member="member" if member else None)
+def _walkable(spark, d, **marks):
+    """The flat graph of 16 nearest and reverse edges; ``marks`` are the columns of a filter, with which dense neighbours come."""
+    rows = base_of(spark, d).withColumns(marks)
+    return beam.load(_graph(spark, d, 16, 32 if marks else 0), rows, **{name: name for name in marks}, reverse=True)
 
 
 _FOUND = ("qid", "rank", "id", "distance")
 
 
 def _exhaustive(spark, d):
-    base, _, flat = _walkable(spark, d)
-    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count()))
+    flat = _walkable(spark, d)
+    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=len(flat.ids)))
 
 
 @query(f"{TOP} {TOP_ROWS}")
@@ -453,15 +449,14 @@ def beam_search_exhaustive(spark, d):
 @query()
 def beam_search(spark, d):
     """A walk with a bounded pool; recall is tested."""
-    _, _, flat = _walkable(spark, d)
-    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=64))
+    return beam.search(_walkable(spark, d), queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=64))
 
 
 @query(f"{TOP} {TOP_ROWS}")
 def frontier_search(spark, d):
     """The join-based walk for graphs beyond one worker, exhaustive here."""
-    base, g = base_of(spark, d), _linked(spark, d)
-    n = base.count()
+    base = base_of(spark, d)
+    n, g = base.count(), saved(graph.with_reverse(_graph(spark, d, 16)), "walkable")
     return beam.frontier_search(g, base, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=n, beam_width=n))
 
 
@@ -493,8 +488,8 @@ def filter_post(spark, d):
 @query(FILTERED)
 def filter_in(spark, d):
     """Filter within an exhaustive walk."""
-    base, _, flat = _walkable(spark, d, member=True)
-    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count()), in_filter=True).select(*_FOUND)
+    flat = _walkable(spark, d, member=F.col("label").isin(LABELS))
+    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=len(flat.ids)), in_filter=True).select(*_FOUND)
 
 
 SELECTOR = exact.LabelOr(LABELS, buckets=6)
@@ -504,9 +499,8 @@ BLOCK_ROWS = 16
 @query(FILTERED)
 def filter_in_approximate(spark, d):
     """Filter within an exhaustive walk that admits by an approximate check and verifies in the end."""
-    base, g = base_of(spark, d), _linked(spark, d, member=True)
-    flat = beam.load(g, base.withColumns({"member": SELECTOR.predicate(), "maybe": SELECTOR.approximate()}), member="member", maybe="maybe")
-    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=base.count()), in_filter=True).select(*_FOUND)
+    flat = _walkable(spark, d, member=SELECTOR.predicate(), maybe=SELECTOR.approximate())
+    return beam.search(flat, queries_of(spark, d), 0, SearchConfig(top_k=K, l_search=len(flat.ids)), in_filter=True).select(*_FOUND)
 
 
 @query("SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 2)")

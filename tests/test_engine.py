@@ -199,6 +199,50 @@ def test_summaries_of_larger_graphs(spark, monkeypatch, name):
     assert "nearest" not in made and made.count("near") == 1
 
 
+def test_reverse_edges_are_turned_as_the_graph_is_loaded(spark, monkeypatch):
+    """The flat form of with_reverse(graph): repeated edges, nodes without a row, rows of unknown nodes, sparse ids; an error beyond the limit, and for a node with two rows."""
+    rng = np.random.default_rng(6)
+    for places in (np.arange(40), np.sort(rng.choice(10**12, 40, replace=False)) - 10**11):
+        rows = [(int(places[i]), places[rng.integers(0, 40, 5)].tolist(), places[rng.integers(0, 40, 2)].tolist()) for i in rng.permutation(40)[:33]]
+        links = spark.createDataFrame(rows, "id long, nbrs array<long>, dense_nbrs array<long>")
+        base = spark.createDataFrame([(int(i), [float(i % 7), 1.0], bool(i % 3)) for i in rng.permutation(places)], "id long, vector array<double>, member boolean")
+        got, want = beam.load(links, base, member="member", reverse=True), beam.load(graph.with_reverse(links), base, member="member")
+        for name in ("ids", "starts", "nbrs", "vectors", "member", "dense_starts", "dense_nbrs"):
+            assert getattr(got, name).tolist() == getattr(want, name).tolist()
+    assert len(beam.load(links.limit(0), base, reverse=True).nbrs) == 0
+    with pytest.raises(ValueError, match="two rows"):
+        beam.load(links.unionByName(links), base)
+    monkeypatch.setattr(beam, "TRAVELLING_BYTES", 8 * (33 * 5 + 40 * 2))
+    assert len(beam.load(links, base).nbrs) == 33 * 5
+    with pytest.raises(ValueError, match="too large to travel"):
+        beam.load(links, base, reverse=True)
+
+
+def test_a_graph_is_written_once(spark, monkeypatch):
+    """Lists of dealt-out queries are whole where they are found: no shuffle groups them, no other table of the graph is written; repeated query ids share a list."""
+    made, path = [], runtime.new_path
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 1 << 14)
+    for module in (runtime, exact):
+        monkeypatch.setattr(module, "new_path", lambda s, what: made.append(what) or path(s, what))
+    with monkeypatch.context() as m:
+        kind, plain = type(spark.range(1)), type(spark.range(1)).groupBy
+        m.setattr(kind, "groupBy", lambda self, *by: pytest.fail("lists were grouped") if by else plain(self))
+        flat = queries._walkable(spark, SMALL)
+    assert made == ["near"] and np.diff(flat.starts).min() >= 16
+    x = np.random.default_rng(8).normal(size=(90, 3))
+    base = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]).cache()
+    wanted = frame(spark, [(i // 3 % 7, v.tolist()) for i, v in enumerate(x)]).withColumnRenamed("id", "qid")
+    key = lambda: sorted((r["qid"], r["rank"], r["id"], r["distance"].hex()) for r in exact.nearest(base, wanted, 40, skip_self=True).collect())
+    few = key()
+    monkeypatch.setattr(exact, "BLOCK_BYTES", 1 << 9)
+    monkeypatch.delattr(exact, "ranked")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert key() == few
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_counters_need_no_recall(spark, monkeypatch):
     """Folding counters neither searches the truth nor measures recall, which it doesn't return."""
     monkeypatch.setattr(exact, "recall", lambda *a: pytest.fail("recall was measured"))
