@@ -7,6 +7,7 @@ import ctypes
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -22,6 +23,8 @@ _FREED_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
+_freeing: dict[int, tuple[int, str]] = {}
+_freeing_lock = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
@@ -89,13 +92,24 @@ def one_by_one(spark: SparkSession, frames: Iterator[DataFrame], count: int, sch
 
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """What runs within removes its shuffle files when it ends, not when the driver next collects garbage."""
-    before = spark.conf.get(_FREED_SHUFFLES, "false")
-    spark.conf.set(_FREED_SHUFFLES, "true")
+    """What runs within removes its shuffle files when it ends, not when the driver next collects garbage.
+
+    Threads may be within at a time: the last one out restores what the first one found.
+    """
+    session = spark._jsparkSession.hashCode()
+    with _freeing_lock:
+        within, before = _freeing.get(session) or (0, spark.conf.get(_FREED_SHUFFLES, "false"))
+        _freeing[session] = within + 1, before
+        spark.conf.set(_FREED_SHUFFLES, "true")
     try:
         yield
     finally:
-        spark.conf.set(_FREED_SHUFFLES, before)
+        with _freeing_lock:
+            within, before = _freeing.pop(session)
+            if within > 1:
+                _freeing[session] = within - 1, before
+            else:
+                spark.conf.set(_FREED_SHUFFLES, before)
 
 
 def discard(*frames: DataFrame) -> None:

@@ -258,6 +258,37 @@ def test_endless_walk_sends_what_is_measured(spark, monkeypatch):
         assert {(r["n_hops"], r["n_cmps"], r["exact_evals"]) for r in rows} == {(6, 6, 3)}
 
 
+@pytest.mark.parametrize("name", ["bench_tsv_roundtrip", "bench_summary"])
+def test_truth_is_searched_beside_the_graph(spark, monkeypatch, name):
+    """The truth needs no graph and doesn't wait for it; what goes wrong in its search ends the query, and the session is as it was."""
+    begun, near, search = threading.Event(), graph.knn_graph, exact.nearest
+    monkeypatch.setattr(graph, "knn_graph", lambda *a, **b: near(*a, **b) if begun.wait(20) else pytest.fail("the graph came first"))
+    monkeypatch.setattr(exact, "nearest", lambda base, asked, k, **b: (k == queries.K and begun.set()) or search(base, asked, k, **b))
+    assert all(r["average_recall"] == 1 for r in queries.QUERIES[name](spark, SMALL).collect())
+
+    def broken(base, asked, k, **b):
+        begun.set()
+        return search(base, asked, k, **b) if k != queries.K else (_ for _ in ()).throw(ValueError("no truth today"))
+
+    monkeypatch.setattr(exact, "nearest", broken)
+    with pytest.raises(ValueError, match="no truth today"):
+        queries.QUERIES[name](spark, SMALL)
+    assert spark.conf.get(runtime._FREED_SHUFFLES, "false") == "false"
+
+
+def test_threads_free_shuffles_at_a_time(spark):
+    """The setting is as before once the last of several threads is out, whichever was first."""
+    value = lambda: spark.conf.get(runtime._FREED_SHUFFLES, "false")
+    first, second = runtime.freed_shuffles(spark), runtime.freed_shuffles(spark)
+    before = value()
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert value() == "true"
+    second.__exit__(None, None, None)
+    assert value() == before
+
+
 def test_counters_need_no_recall(spark, monkeypatch):
     """Folding counters neither searches the truth nor measures recall, which it doesn't return."""
     monkeypatch.setattr(exact, "recall", lambda *a: pytest.fail("recall was measured"))
